@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm import oracles
 from quillspark.llm.exact_dedup import exact_dedup
+from quillspark.llm.packing import pack_documents
+from quillspark.llm.sstable import token_table
 from quillspark.llm.url_filter import url_filter
 from quillspark.tables import table
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back, _ = token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("dd_keep_id").alias("keep_id"), F.col("dd_group_size").alias("group_size"), F.col("dd_kept").alias("kept"), F.col("dd_digest").alias("text_sha256"))
@@ -21,6 +33,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op9_token_tables": op9_token_tables,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_url_filter": op10_url_filter,
 }
