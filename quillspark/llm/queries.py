@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quillspark.llm import oracles
 from quillspark.llm.exact_dedup import exact_dedup
 from quillspark.llm.packing import pack_documents
+from quillspark.llm.quality import quality_rules
 from quillspark.llm.sstable import token_table
+from quillspark.llm.toxicity import toxicity
 from quillspark.llm.url_filter import url_filter
 from quillspark.tables import table
 
@@ -17,6 +19,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).withColumns({c: F.round(c, 6) for c in ("class_js", "word_js")})
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     back, _ = token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -34,6 +44,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_quality_rules": op2_quality_rules,
+    "op5_toxicity": op5_toxicity,
     "op9_token_tables": op9_token_tables,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_url_filter": op10_url_filter,
