@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm import oracles
 from quillspark.llm.exact_dedup import exact_dedup
+from quillspark.llm.ngram_join import ngram_join
 from quillspark.llm.packing import pack_documents
 from quillspark.llm.quality import quality_rules
 from quillspark.llm.sstable import token_table
@@ -27,6 +28,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op9_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     back, _ = token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -46,6 +51,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
     "op5_toxicity": op5_toxicity,
+    "op6_ngram_join": op6_ngram_join,
     "op9_token_tables": op9_token_tables,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_url_filter": op10_url_filter,
