@@ -9,6 +9,7 @@ mode) a temporary one is made.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,16 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let shuffle files of finished phases go.
+
+    Spark removes them when the driver's garbage collector finds their plans
+    unused, which may be long after; between phases it is asked to look.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def _sweep() -> None:
     for spark, path in _written:
