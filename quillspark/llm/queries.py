@@ -11,6 +11,7 @@ from quillspark.llm.ngram_join import ngram_join
 from quillspark.llm.packing import pack_documents
 from quillspark.llm.quality import quality_rules
 from quillspark.llm.sstable import token_table
+from quillspark.llm.substring_dedup import substring_dedup
 from quillspark.llm.toxicity import toxicity
 from quillspark.llm.url_filter import url_filter
 from quillspark.tables import table
@@ -24,6 +25,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).withColumns({c: F.round(c, 6) for c in ("class_js", "word_js")})
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,6 +55,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_join": op6_ngram_join,
     "op9_token_tables": op9_token_tables,
