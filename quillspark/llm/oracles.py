@@ -62,3 +62,36 @@ SELECT page_id, host, path, r.rule AS rule,
        round(rate, 6) AS rate, round(low, 6) AS rate_low
 FROM f
 """
+
+TEMPERATURE_MIX = """
+WITH r AS (
+  SELECT doc_id, source, coalesce('=' || source, 'null') AS s,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens FROM documents),
+src AS (SELECT s, sum(tokens)::BIGINT AS t, count(*) AS n, ceil(count(*) / 1000.0)::BIGINT AS nb FROM r GROUP BY s),
+sh AS (SELECT s, t, t::DOUBLE / (SELECT sum(t) FROM src) AS p FROM src WHERE t > 0),
+grid AS (
+  SELECT k, sum(pow(p, k / 1024.0::DOUBLE)) AS z, max(t / pow(p, k / 1024.0::DOUBLE)) AS whole, max(pow(p, k / 1024.0::DOUBLE) / t) AS most
+  FROM sh, range(0, 1025) AS g(k) GROUP BY k),
+best AS (SELECT k, z, whole * z AS budget FROM grid WHERE most / z * (whole * z) <= 2 + 1e-9 ORDER BY k LIMIT 1),
+q AS (
+  SELECT src.*, pow(t::DOUBLE / (SELECT sum(t) FROM src), k / 1024.0::DOUBLE) / z * budget AS quota FROM src, best),
+pl AS (SELECT *, CASE WHEN t > 0 THEN floor(quota / t + 1e-9)::BIGINT ELSE 1 END AS passes FROM q),
+plan AS (SELECT *, CASE WHEN t > 0 THEN greatest(0, floor(quota - passes * t + 1e-6)::BIGINT) ELSE 0 END AS rest FROM pl),
+k AS (
+  SELECT r.*, p.t, p.nb, p.passes, p.rest, md5('mix|' || passes || '|' || coalesce(doc_id::VARCHAR, '')) AS key
+  FROM r JOIN plan p USING (s)),
+kb AS (SELECT *, ('0x' || substr(key, 1, 8))::BIGINT % nb AS block FROM k),
+b AS (SELECT s, block, sum(tokens) AS b, max(rest) AS rest FROM kb WHERE rest > 0 GROUP BY ALL),
+ba AS (SELECT *, sum(b) OVER (PARTITION BY s ORDER BY block) AS after FROM b),
+cut AS (SELECT s, min(block) AS cut, min(after - b) AS whole FROM ba WHERE after > rest GROUP BY s),
+ins AS (
+  SELECT kb.s, key, whole, kb.rest, sum(tokens) OVER (PARTITION BY kb.s ORDER BY key RANGE UNBOUNDED PRECEDING) AS after
+  FROM kb JOIN cut ON kb.s = cut.s AND kb.block = cut.cut),
+ends AS (SELECT s, max(key) AS until FROM ins WHERE whole + after <= rest GROUP BY s),
+o AS (
+  SELECT kb.doc_id, kb.source, kb.nb, unnest(range(0, passes + CASE WHEN block < cut OR (block = cut AND key <= until) THEN 1 ELSE 0 END)) AS pass,
+         ceil(passes + CASE WHEN t > 0 THEN rest::DOUBLE / t ELSE 0 END) AS top
+  FROM kb LEFT JOIN cut USING (s) LEFT JOIN ends USING (s)),
+ob AS (SELECT *, ('0x' || substr(md5('mix|' || pass || '|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % nb AS block FROM o)
+SELECT doc_id, source, pass AS mix_pass, block AS mix_block, round((pass + (block + 0.5) / nb) / top, 6) AS position FROM ob
+"""

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm import oracles
 from quillspark.llm.exact_dedup import exact_dedup
+from quillspark.llm.mixing import temperature_mix
 from quillspark.llm.ngram_join import ngram_join
 from quillspark.llm.packing import pack_documents
 from quillspark.llm.quality import quality_rules
@@ -29,6 +30,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = temperature_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", "source", F.col("mx_pass").alias("mix_pass"), F.col("mx_block").alias("mix_block"), F.round("mx_position", 6).alias("position"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +62,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_temperature_mix": op4_temperature_mix,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_join": op6_ngram_join,
     "op9_token_tables": op9_token_tables,
@@ -63,6 +70,7 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
 }
 ORACLES = {
+    "op4_temperature_mix": oracles.TEMPERATURE_MIX,
     "op7_exact_dedup": oracles.EXACT_DEDUP,
     "op10_url_filter": oracles.URL_FILTER,
 }
