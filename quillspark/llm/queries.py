@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm import oracles
 from quillspark.llm.exact_dedup import exact_dedup
+from quillspark.llm.html_wrapper import main_text
 from quillspark.llm.mixing import temperature_mix
 from quillspark.llm.ngram_join import ngram_join
 from quillspark.llm.packing import pack_documents
@@ -43,6 +44,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     back, _ = token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -65,6 +70,7 @@ QUERIES = {
     "op4_temperature_mix": op4_temperature_mix,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_join": op6_ngram_join,
+    "op8_html_extraction": op8_html_extraction,
     "op9_token_tables": op9_token_tables,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_url_filter": op10_url_filter,
