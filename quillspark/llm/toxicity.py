@@ -22,6 +22,7 @@ from collections.abc import Iterable
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillspark.llm.quality import COMMON_WORDS
 
@@ -238,19 +239,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     return [r["text"] for r in rows], np.array([r["toxic"] for r in rows], float)
 
 
-def score_texts(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score of every row of ``docs`` (doc_id, text)."""
+def with_scores(docs: DataFrame, model: Model, text_col: str = "text", name: str = "tx_score") -> DataFrame:
+    """Every row and column of ``docs``, with the score of its whole text in ``name``."""
     weights = (model.hashes, model.embeddings, model.filters, model.bias, model.out, model.out_bias, model.shifts)
+    docs = docs.drop(name)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterable):
         import pyarrow as pa
 
         scorer = Model(*weights).start()
         for batch in batches:
-            scores = [scorer.score(text.as_py() or "") for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            scores = [scorer.score(text.as_py() or "") for text in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, name])
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -264,4 +267,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, max_row
     """
     model = train(*training_rows(docs, labels, max_rows))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    return score_texts(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
+    scored = with_scores(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held.alias("held_out"), F.col("tx_score").alias("score"), (F.col("tx_score") >= accept).cast("int").alias("predicted"))
