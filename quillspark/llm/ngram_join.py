@@ -24,19 +24,22 @@ from pyspark.sql import DataFrame, functions as F
 from quillspark.llm.components import connected_components
 from quillspark.llm.shingles import mix, shingle_set
 from quillspark.operators.skew import hot_cold_join
-from quillspark.scratch import materialize
+from quillspark.scratch import materialize, release
 
 THRESHOLD, WIDTH, RECALL, MAX_HASHES = 0.8, 5, 0.9999, 128
-BLOCK = 1000
+BLOCK = 500
+#: Rows taken out of a batch, and n-grams compared, at a time.
+SLICE, COLUMNS = 256, 1 << 13
 
 
 def choose_bands(threshold: float, recall: float, max_hashes: int) -> tuple[int, int]:
     """(bands, rows): the most selective rows whose bands find a pair at ``threshold`` with probability ``recall``."""
     best = (max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold))), 1)
     for rows in range(2, max_hashes + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
-        if bands * rows <= max_hashes:
-            best = (bands, rows)
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows)))
+        if bands * rows > max_hashes:
+            break
+        best = (bands, rows)
     return best
 
 
@@ -65,10 +68,8 @@ def set_key(shingles: np.ndarray) -> bytes:
 def _groups(batches: Iterable, keys: int) -> Iterator[list[list]]:
     """Columns of each run of rows that agree in the first ``keys`` columns."""
     held: list[list] | None = None
-    for batch in batches:
+    for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
         columns = [c.to_pylist() for c in batch.columns]
-        if not columns[0]:
-            continue
         marks = list(zip(*columns[:keys]))
         cuts = [0, *(i for i in range(1, len(marks)) if marks[i] != marks[i - 1]), len(marks)]
         for a, b in zip(cuts, cuts[1:]):
@@ -119,15 +120,15 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     owner = np.repeat(np.arange(n), sizes)
     take = shared[at]
     at, owner = column[at[take]], owner[take]
-    out = np.zeros((n, n), np.int64)
-    for low in range(0, int(shared.sum()), 1 << 16):
-        here = (at >= low) & (at < low + (1 << 16))
-        width = min(1 << 16, int(shared.sum()) - low)
+    out = np.zeros((n, n), np.int32)
+    for low in range(0, int(shared.sum()), COLUMNS):
+        here = (at >= low) & (at < low + COLUMNS)
+        width = min(COLUMNS, int(shared.sum()) - low)
         bits = np.zeros((n, -(-width // 64) * 64), np.uint8)
         bits[owner[here], at[here] - low] = 1
         words = np.packbits(bits, 1, bitorder="little").view(np.uint64)
         for i in range(n):
-            out[i, i:] += np.bitwise_count(words[i] & words[i:]).sum(1, dtype=np.int64)
+            out[i, i:] += np.bitwise_count(words[i] & words[i:]).sum(1, dtype=np.int32)
     out = np.triu(out) + np.triu(out, 1).T
     np.fill_diagonal(out, sizes)
     return out
@@ -200,24 +201,34 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
 
     Columns: doc_id, class_id (least id of all documents joined directly or
     through others), n_links (other n-gram sets that the document's set is
-    linked with), n_copies (documents with the same set, itself included).
+    linked with), n_copies (documents with the same set, itself included),
+    row_id (doc_id, or a hash of the text where it is null) and stays_id (the
+    row_id that stands for the class: class_id, or the least of null ids).
     Texts of fewer than ``width`` words are one n-gram of all words.  Null,
     empty and blank texts have no n-grams, link with nothing, and are classes of
     their own.  Rows with null ids take part; a class of such rows alone has a
     null class_id.  Repeated rows are copies.  Empty tables give empty results;
     other columns are ignored.
     """
-    bands, rows = choose_bands(threshold, recall, max_hashes)
+    spark, (bands, rows) = docs.sparkSession, choose_bands(threshold, recall, max_hashes)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"), "text")
     sketches = materialize(_sketch(docs, width, bands, rows), "sketches")
     copies = materialize(sketches.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n_copies"), F.min("doc_id").alias("least"), F.min("id").alias("id"), F.first("bands").alias("bands")), "copies")
-    buckets = copies.select("key", "bands", F.posexplode("bands").alias("band", "bucket"))
+    release(spark)
+    buckets = copies.select("key", F.posexplode("bands").alias("band", "bucket"))
     sizes = materialize(buckets.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
-    met = hot_cold_join(buckets, sizes, ["band", "bucket"], "size", F.col("key")).where("size is not null").select("band", "bucket", "size", "key", "bands")
-    small = met.where(F.col("size") <= block).repartition("band", "bucket").sortWithinPartitions("band", "bucket").mapInArrow(_prune, "band int, bucket long, size long, key binary")
-    need = materialize(small.union(met.where(F.col("size") > block).drop("bands")), "candidates")
+    release(spark)
+    # Signatures follow only the few rows that share a bucket.
+    met = hot_cold_join(buckets, sizes, ["band", "bucket"], "size", F.col("key")).where("size is not null").select("band", "bucket", "size", "key")
+    met = materialize(met, "met")
+    release(spark)
+    signed = met.where(F.col("size") <= block).join(copies.select("key", "bands"), "key").select("band", "bucket", "size", "key", "bands")
+    small = signed.repartition("band", "bucket").sortWithinPartitions("band", "bucket").mapInArrow(_prune, "band int, bucket long, size long, key binary")
+    need = materialize(small.union(met.where(F.col("size") > block)), "candidates")
+    release(spark)
     wanted = need.select("key").distinct().join(copies, "key").select("id", "key")
-    sets = _sets(docs.join(wanted.select("id").distinct(), "id", "left_semi").select("text"), width)
+    # Both sides grow with the corpus, so texts are always dealt by id, never met by a broadcast.
+    sets = _sets(docs.join(wanted.select("id").distinct().hint("merge"), "id", "left_semi").select("text"), width)
     sets = sets.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
     # A bucket over ``block`` goes out as pairs of blocks.
     units = need.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
@@ -226,11 +237,19 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     units = units.join(copies.select("key", "bands"), "key").join(sets, "key").select("low", "high", "band", "bucket", "block", "key", "bands", "grams")
     units = units.repartition("band", "bucket", "low", "high").sortWithinPartitions("low", "high", "band", "bucket")
     links = materialize(units.mapInArrow(_verify(threshold), "key binary, links long, root binary"), "links")
+    release(spark)
     roots = connected_components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("key").agg(F.sum("links").alias("n_links"))
-    classes = copies.select("key", "n_copies", "least").join(counts, "key", "left").join(roots.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = classes.groupBy("root").agg(F.min("least").alias("class_id"))
-    classes = materialize(classes.join(least, "root").select("key", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "class_id"), "classes")
+    classes = copies.select("key", "n_copies", "least", "id").join(counts, "key", "left").join(roots.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    least = classes.groupBy("root").agg(F.min("least").alias("class_id"), F.min("id").alias("least_id"))
+    classes = materialize(classes.join(least, "root").select("key", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "class_id", F.coalesce("class_id", "least_id").alias("stays_id")), "classes")
     out = hot_cold_join(sketches.select("doc_id", "id", "key"), classes, ["key"], "n_copies", F.col("id"))
     alone = F.col("key").isNull()
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"))
+    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"), F.col("id").alias("row_id"), F.when(alone, F.col("id")).otherwise(F.col("stays_id")).alias("stays_id"))
+
+
+def one_per_class(docs: DataFrame, **options) -> DataFrame:
+    """Rows of ``docs``, with all their columns, that stand for their class; rows that share an id share its fate."""
+    stay = ngram_join(docs, **options).where("row_id = stays_id").select(F.col("row_id").alias("nj_row")).distinct()
+    rows = docs.drop("nj_row").withColumn("nj_row", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    return rows.join(stay, "nj_row", "left_semi").drop("nj_row")
