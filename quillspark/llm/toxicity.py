@@ -201,7 +201,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, epochs: int = 6,
     z = np.array([model.logit(t) for t in texts])
     langs = np.array([guess_language(w) for w in words])
     # Languages with few positives share the overall threshold.
-    model.shifts = {"": _shift(z[held], labels[held])}
+    enough = min(labels[held].sum(), (1 - labels[held]).sum()) >= 8
+    model.shifts = {"": _shift(z[held], labels[held]) if enough else _shift(z, labels)}
     for lang in COMMON_WORDS:
         take = held & (langs == lang)
         if min(labels[take].sum(), (1 - labels[take]).sum()) >= 8:
@@ -210,7 +211,10 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, epochs: int = 6,
 
 
 def _shift(z: np.ndarray, labels: np.ndarray) -> float:
-    """What to add to a logit so that the threshold of best F1 scores ``ACCEPT``; the middle of the gap around it."""
+    """What to add to a logit so that the threshold of best F1 scores ``ACCEPT``; the middle of the gap around it.
+
+    Thresholds that would reject more than a twentieth of the clean rows are out.
+    """
     target = np.log(ACCEPT / (1 - ACCEPT))
     if not len(z) or labels.min() == labels.max():
         return 0.0
@@ -219,6 +223,7 @@ def _shift(z: np.ndarray, labels: np.ndarray) -> float:
     cuts = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2])
     right = labels[::-1].cumsum()[::-1]
     f1 = 2 * right / (np.arange(len(z), 0, -1) + labels.sum())
+    f1[cuts < np.quantile(z[labels == 0], 0.95)] = -1
     best = np.flatnonzero(f1 == f1.max())
     return float(target - cuts[best[len(best) // 2]])
 
