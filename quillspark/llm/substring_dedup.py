@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillspark.llm.exact_dedup import sha256_digest
 from quillspark.llm.parsing import END, TRIGGER, eight, repeated
-from quillspark.llm.shingles import mix
+from quillspark.llm.shingles import _ODD, mix
 from quillspark.operators.skew import hot_cold_join
 from quillspark.scratch import materialize, release
 
 WIDTH, GRAM = 100, 24
 #: Segments of one minimizer that a shard orders in memory, and bytes that it orders at a time.
-HOT, TOGETHER = 20_000, 4_000_000
+HOT, TOGETHER = 200_000, 1_000_000
 LAST = 2**63 - 1
 
 
@@ -40,10 +40,25 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     """Hash of the ``gram`` bytes (a multiple of 8) from each position."""
     x = eight(data)
     n = max(0, len(data) - gram + 1)
-    out = np.zeros(n, np.uint64)
-    for k in range(0, gram, 8):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + x[k : k + n])
-    return out
+    out = x[:n] * _ODD[0]
+    for k in range(8, gram, 8):
+        out += x[k : k + n] * _ODD[k // 8]
+    return mix(out)
+
+
+def string_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` bytes (8 at least) from each position, from hashes of powers of two."""
+    n = len(data) - width + 1
+    spans = {8: eight(data)}
+    while 2 * max(spans) <= width:
+        k = max(spans)
+        spans[2 * k] = spans[k][:-k] * _ODD[k % 7] + spans[k][k:]
+    out, at = np.zeros(n, np.uint64), 0
+    for k in sorted(spans, reverse=True):
+        while width - at >= k:
+            out = out * _ODD[3] + spans[k][at : at + n]
+            at += k
+    return mix(out * _ODD[5] + spans[8][width - 8 : width - 8 + n])
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -90,7 +105,7 @@ def _emit_segments(width: int, gram: int):
         import pyarrow as pa
 
         for batch in batches:
-            ids, uids = batch.column(0), batch.column(1)
+            uids = batch.column(1)
             data, some, size = [], [], 0
             for i, text in enumerate(batch.column(2)):
                 data.append((text.as_py() or "").encode())
@@ -99,7 +114,7 @@ def _emit_segments(width: int, gram: int):
                 if size >= 1_000_000 or i == batch.num_rows - 1:
                     owner, start, count, least, times = segments(data, width, gram)
                     rows = pa.array(np.array(some)[owner])
-                    yield pa.RecordBatch.from_arrays([ids.take(rows), uids.take(rows), pa.array(start, pa.int32()), pa.array(count, pa.int32()), pa.array(least.view(np.int64)), pa.array(times, pa.int64())], ["doc_id", "uid", "start", "strings", "least", "times"])
+                    yield pa.RecordBatch.from_arrays([uids.take(rows), pa.array(start, pa.int32()), pa.array(count, pa.int32()), pa.array(least.view(np.int64)), pa.array(times, pa.int64())], ["uid", "start", "strings", "least", "times"])
                     data, some, size = [], [], 0
 
     return run
@@ -109,65 +124,111 @@ def _cut(width: int):
     def run(batches: Iterable):
         import pyarrow as pa
 
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
+        names = ["doc_id", "uid", "start", "least", "within", "bytes"]
         for batch in batches:
-            for r in range(batch.num_rows):
+            out, size = [], 0
+            for r, (doc_id, uid) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 text = (batch.column(2)[r].as_py() or "").encode()
-                parts = batch.column(3)[r].as_py()
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([batch.column(0)[r].as_py()] * len(parts), pa.int64()), pa.array([batch.column(1)[r].as_py()] * len(parts), pa.int64()),
-                    pa.array([p["start"] for p in parts], pa.int32()), pa.array([p["least"] for p in parts], pa.int64()), pa.array([p["hot"] for p in parts], pa.bool_()),
-                    pa.array([text[p["start"] : p["start"] + p["strings"] + width - 1] for p in parts], pa.binary()),
-                ], ["doc_id", "uid", "start", "least", "hot", "bytes"])
+                parts = batch.column(3)[r].values
+                for start, strings, least, times in zip(*(parts.field(k).to_pylist() for k in range(4))):
+                    out.append((doc_id, uid, start, least, times > 1, text[start : start + strings + width - 1]))
+                    size += strings + width
+                if size > 2_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     return run
 
 
-def _spans(keys: list, marked: np.ndarray, owner: np.ndarray, start: np.ndarray, width: int) -> list[tuple]:
+def _spans(keys: list, owner: np.ndarray, start: np.ndarray, width: int) -> list[tuple]:
     """(doc_id, uid, from, to) of runs of marked strings; one row a run."""
-    at = np.flatnonzero(marked)
-    if not len(at):
-        return []
-    new = np.append(True, (np.diff(at) > 1) | (np.diff(owner[at]) != 0))
-    heads = at[new]
-    tails = at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]
-    return [(*keys[owner[h]], int(start[h]), int(start[t]) + width) for h, t in zip(heads, tails)]
+    heads = np.flatnonzero(np.append(True, (np.diff(start) != 1) | (np.diff(owner) != 0)))
+    tails = np.append(heads[1:], len(start)) - 1
+    return [(*keys[owner[h]], int(start[h]), int(start[t]) + width) for h, t in zip(heads.tolist(), tails.tolist())]
 
 
 def mark_segments(keys: list[tuple], starts: list[int], data: list[bytes], width: int = WIDTH) -> list[tuple]:
-    """Spans of strings that start earlier in another of these segments (or earlier in the same document)."""
+    """Spans of strings that start earlier in another of these segments (or earlier in the same document).
+
+    Strings whose hash is alone here cannot repeat and are left out before the
+    order is computed; which of the others repeat, the order tells by content.
+    """
     lengths = np.array([len(d) for d in data])
-    text = np.frombuffer((bytes([END]) * TRIGGER).join(data) + bytes([END]) * TRIGGER, np.uint8)
-    begin = np.cumsum(lengths + TRIGGER) - lengths - TRIGGER
+    hashes, at = [], 0
+    while at < len(data):
+        end = at + max(1, int(np.searchsorted(np.cumsum(lengths[at:]), 1_000_000)))
+        joined = string_hashes(np.frombuffer(b"".join(data[at:end]), np.uint8), width)
+        begin = np.cumsum(lengths[at:end]) - lengths[at:end]
+        hashes += [joined[b : b + n - width + 1] for b, n in zip(begin.tolist(), lengths[at:end].tolist())]
+        at = end
     count = lengths - width + 1
     owner = np.repeat(np.arange(len(data)), count)
     inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    _, which, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    again = np.flatnonzero(times[which] > 1)
+    if not len(again):
+        return []
+    owner, inner = owner[again], inner[again]
+    # Segments are trimmed to the strings that are left.
+    used = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    low, high = inner[used], inner[np.append(used[1:], len(inner)) - 1] + width
+    parts = [data[o][a:b] for o, a, b in zip(owner[used].tolist(), low.tolist(), high.tolist())]
+    text = np.frombuffer((bytes([END]) * TRIGGER).join(parts) + bytes([END]) * TRIGGER, np.uint8)
+    sizes = high - low
+    begin = np.cumsum(sizes + TRIGGER) - sizes - TRIGGER
+    part = np.cumsum(np.append(True, owner[1:] != owner[:-1])) - 1
     position = np.array(starts, np.int64)[owner] + inner
     doc = np.unique(np.array([LAST if k[0] is None else k[0] for k in keys], np.int64), return_inverse=True)[1]
     order = (doc[owner].astype(np.int64) << 32) | position
-    return _spans(keys, repeated(text, begin + lengths, begin[owner] + inner, order, width), owner, position, width)
+    marked = repeated(text, begin + sizes, begin[part] + inner - low[part], order, width)
+    return _spans(keys, owner[marked], position[marked], width) if marked.any() else []
 
 
 def _shard(width: int):
+    """Rows come in order of minimizer, document and start.
+
+    Equal segments of one minimizer are merged: the first stands for all, and
+    the later ones are covered whole.  What is left alone in its group and has
+    no repetition of its own cannot repeat; all else is ordered by parsing.
+    """
     def run(batches: Iterable):
         import pyarrow as pa
 
         types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
         held, size, out = [], 0, []
+        group: dict[bytes, tuple] = {}
+        minimizer = within = None
+
+        def leave() -> int:
+            if len(group) > 1 or within:
+                held.extend(group.values())
+                return sum(map(len, group))
+            return 0
 
-        def close():
-            # Dealt rows come in order of their minimizer; groups are taken together.
-            out.extend(mark_segments([r[:2] for r in held], [r[2] for r in held], [r[4] for r in held], width))
+        def close() -> None:
+            out.extend(mark_segments([r[:2] for r in held], [r[2] for r in held], [r[5] for r in held], width))
+            held.clear()
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if size >= TOGETHER and row[3] != held[-1][3]:
-                    close()
-                    held, size = [], 0
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["doc_id", "uid", "from", "to"])
-                        out = []
-                held.append(row)
-                size += len(row[4])
+                if row[3] != minimizer:
+                    size += leave()
+                    group, minimizer, within = {}, row[3], False
+                    if size >= TOGETHER:
+                        close()
+                        size = 0
+                within = within or row[4]
+                first = group.setdefault(row[5], row)
+                if first is not row:
+                    if (first[0], first[2]) != (row[0], row[2]):
+                        out.append((row[0], row[1], row[2], row[2] + len(row[5])))
+            if len(out) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["doc_id", "uid", "from", "to"])
+                out = []
+        leave()
         if held:
             close()
         if out:
@@ -214,22 +275,27 @@ def _keep(batches: Iterable):
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, uid, from, to of strings of ``docs`` (doc_id, uid, text) that start earlier; spans may overlap."""
     spark, docs = docs.sparkSession, docs.select("doc_id", "uid", "text")
-    found = docs.mapInArrow(_emit_segments(width, gram), "doc_id long, uid long, start int, strings int, least long, times long")
+    found = materialize(docs.mapInArrow(_emit_segments(width, gram), "uid long, start int, strings int, least long, times long"), "found")
     counts = materialize(found.groupBy("least").agg(F.sum("times").alias("n")).where("n > 1"), "minimizers")
     release(spark)
     going = hot_cold_join(found, counts, ["least"], "n", F.struct("uid", "start")).where("n is not null")
-    going = materialize(going.select("uid", F.struct("start", "strings", "least", (F.col("n") > hot).alias("hot")).alias("s")), "segments")
+    going = materialize(going.select("uid", F.struct("start", "strings", "least", "times").alias("s"), (F.col("n") > hot).alias("hot")), "segments")
     release(spark)
-    # A document's segments are a list no longer than the document.
-    lists = going.groupBy("uid").agg(F.collect_list("s").alias("parts"))
-    cut = docs.join(lists, "uid").select("doc_id", "uid", "text", "parts").mapInArrow(_cut(width), "doc_id long, uid long, start int, least long, hot boolean, bytes binary").distinct()
-    cut = materialize(cut, "bytes")
-    release(spark)
-    dealt = cut.where("not hot").repartition("least").sortWithinPartitions("least").select("doc_id", "uid", "start", "least", "bytes")
+
+    def cut(some: DataFrame) -> DataFrame:
+        # A document's segments are a list no longer than the document.
+        lists = some.groupBy("uid").agg(F.collect_list("s").alias("parts")).hint("merge")
+        rows = docs.join(lists, "uid").select("doc_id", "uid", "text", "parts")
+        return rows.mapInArrow(_cut(width), "doc_id long, uid long, start int, least long, within boolean, bytes binary")
+
+    place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.col("start").alias("s"))
+    dealt = cut(going.where("not hot")).repartition("least").sortWithinPartitions("least", F.coalesce("doc_id", F.lit(LAST)), "start")
     spans = materialize(dealt.mapInArrow(_shard(width), "doc_id long, uid long, `from` int, `to` int"), "spans")
     release(spark)
-    strings = materialize(cut.where("hot").select("doc_id", "uid", "start", "bytes").mapInArrow(_strings(width), "hash binary, doc_id long, uid long, start int"), "strings")
-    place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.col("start").alias("s"))
+    if not counts.where(F.col("n") > hot).limit(1).count():
+        return spans
+    strings = materialize(cut(going.where("hot")).select("doc_id", "uid", "start", "bytes").mapInArrow(_strings(width), "hash binary, doc_id long, uid long, start int"), "strings")
+    release(spark)
     first = materialize(strings.groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "first-strings")
     late = hot_cold_join(strings, first, ["hash"], "n", F.struct("uid", "start")).where(F.col("first") < place)
     return spans.union(late.select("doc_id", "uid", F.col("start").alias("from"), (F.col("start") + width).alias("to")))
