@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of quillspark.plans; each has QUERIES and ORACLES.
-FAMILIES: list[str] = ["relational", "predicates", "retrieval", "knowledge", "documents"]
+FAMILIES: list[str] = ["relational", "predicates", "retrieval", "knowledge", "documents", "requests"]
 
 
 def _merged(attribute: str) -> dict:

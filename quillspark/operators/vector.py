@@ -38,6 +38,6 @@ def fold_to_parents(hits: DataFrame, limit: int) -> DataFrame:
 
 def mean_pool(tokens: Column, mask: Column) -> Column:
     """Unit-length mean of the token vectors that the mask keeps."""
-    kept = F.filter(F.arrays_zip(tokens.alias("t"), mask.alias("m")), lambda z: z["1"] == 1)
-    total = F.aggregate(kept, F.transform(tokens[0], lambda x: F.lit(0.0)), lambda s, z: F.zip_with(s, z["0"], lambda a, b: a + b))
+    kept = F.filter(F.arrays_zip(tokens.alias("t"), mask.alias("m")), lambda z: z["m"] == 1)
+    total = F.aggregate(kept, F.transform(tokens[0], lambda x: F.lit(0.0)), lambda s, z: F.zip_with(s, z["t"], lambda a, b: a + b))
     return F.transform(total, lambda x: x / norm(total))
