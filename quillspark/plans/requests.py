@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.functions import requests as rq
 from quillspark.functions.text import normalize_newlines
-from quillspark.operators import vector
+from quillspark.operators import lexical, vector
 from quillspark.plans.binding import Family
-from quillspark.sources import readers
+from quillspark.sources import html_nodes, readers
 from quillspark.streaming.delivery import retry_delay
 from quillspark.tables import table
 
@@ -98,3 +98,8 @@ _F.frame("fpr02_text_projection", lambda spark, d: table(spark, d, "documents").
 _F.frame("dat06_retry_delay", lambda spark, d: spark.createDataFrame([(n, 2 ** (n - 1) <= retry_delay("e", n) <= 1.25 * 2 ** (n - 1), retry_delay("e", n) <= 300) for n in range(1, 9)] + [(10, False, retry_delay("e", 10) == 300)], "attempt int, within boolean, capped boolean"), "SELECT CAST(n AS INT) AS attempt, true AS within, true AS capped FROM range(1, 9) r(n) UNION ALL SELECT 10, false, true")
 _F.frame("mth03_mean_pool", lambda spark, d: table(spark, d, "embeddings").select("vec_id", vector.mean_pool(F.array(*(F.transform(F.slice("embedding", s, 2), lambda x: x.cast("double")) for s in (1, 2, 3))), F.array(F.lit(1), F.lit(0), F.lit(1))).alias("p")).select("vec_id", F.round(F.col("p")[0], 6).alias("x"), F.round(F.col("p")[1], 6).alias("y")),
          "SELECT vec_id, round(a / sqrt(a * a + b * b), 6) AS x, round(b / sqrt(a * a + b * b), 6) AS y FROM (SELECT vec_id, embedding[1]::DOUBLE + embedding[3]::DOUBLE AS a, embedding[2]::DOUBLE + embedding[4]::DOUBLE AS b FROM embeddings) x")
+_F.frame("fpr03_html_projection", lambda spark, d: html_nodes.html_fingerprints(table(spark, d, "pages").select(F.col("page_id").alias("id"), "html")))
+_F.frame("dif06_html_diff", lambda spark, d: html_nodes.html_diff(table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("base"), F.when(F.col("page_id") % 2 == 0, F.regexp_replace("html", "<h1>", "<h1>changed ")).otherwise(F.regexp_replace("html", "<article>", "<article><hr>")).alias("target"))).select("id", "kind"),
+         "SELECT page_id AS id, CASE WHEN page_id % 2 = 0 THEN 'Text' ELSE 'Added' END AS kind FROM pages")
+_F.same("mth05_bm25", "SELECT p_brand, n, df, round(ln(1 + (n - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))), 9) AS idf FROM (SELECT p_brand, count(*) AS df FROM part GROUP BY p_brand) a CROSS JOIN (SELECT count(*) AS n FROM part) b")
+_F.frame("lex08_scoring", lambda spark, d: lexical.body_search(table(spark, d, "documents").where("doc_id < 400"), "the and", 10).select("rank", (F.col("score") > 0).alias("positive")), "SELECT CAST(n AS INT) AS rank, true AS positive FROM range(1, 11) r(n)")
