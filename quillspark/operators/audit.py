@@ -4,9 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Fixed value: the chain's domain tag; its SHA-256 is the first link.
+#: Domain tags; the first one's SHA-256 is the link before the first.
 GENESIS = "kp-audit-chain-genesis-v1"
 STEP = "kp-audit-chain-v1"
+EXPIRED_SET = "kp-audit-expired-set-v1"
+
+
+def uuid_bytes(value: Column) -> Column:
+    """The 16 bytes of a UUID in hex, with or without hyphens."""
+    return F.unhex(F.replace(value, F.lit("-"), F.lit("")))
+
+
+def _eight_bytes(value: Column) -> Column:
+    return F.unhex(F.lpad(F.hex(value.cast("long")), 16, "0"))
+
+
+def expired_set_digest(seqs: Column) -> Column:
+    """Digest of an array of sequence numbers, in ascending order."""
+    return F.sha2(F.aggregate(F.array_sort(seqs), F.lit(EXPIRED_SET).cast("binary"), lambda s, x: F.concat(s, _eight_bytes(x))), 256)
 
 
 def envelope_digest(text: Column) -> Column:
@@ -14,8 +29,8 @@ def envelope_digest(text: Column) -> Column:
 
 
 def chain_step(previous: Column, seq: Column, event: Column, digest: Column) -> Column:
-    """Next link, hex, of a hex link, a sequence number, an event's name and its digest."""
-    return F.sha2(F.concat(F.lit(STEP).cast("binary"), F.unhex(previous), F.unhex(F.lpad(F.hex(seq.cast("long")), 16, "0")), event.cast("binary"), F.unhex(digest)), 256)
+    """Next link, hex, of a hex link, a sequence number, an event's UUID and its envelope's digest."""
+    return F.sha2(F.concat(F.lit(STEP).cast("binary"), F.unhex(previous), _eight_bytes(seq), uuid_bytes(event), F.unhex(digest)), 256)
 
 
 def build_chain(events: DataFrame, log: str = "log") -> DataFrame:

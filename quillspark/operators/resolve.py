@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Identity evidence that is strong, and evidence roles that are direct.
-STRONG_EVIDENCE = ("StableExternalId", "AuthoritativeMapping", "SignedAssertion", "ContentDigest", "CanonicalUri", "ManualConfirmation")
+STRONG_EVIDENCE = ("StableProviderId", "SourceNativeId", "CanonicalUri", "IntegrityDigest", "ExplicitDeclaration", "SchemaAndContentIdentity")
 DIRECT_ROLES = ("Primary", "Corroborating", "Contradicting")
 
 
@@ -40,7 +40,7 @@ def effective_state(observations: DataFrame) -> DataFrame:
     partial or query coverage proves nothing.
     """
     latest = observations.groupBy("resource").agg(F.max_by(F.struct("presence", "coverage"), F.struct("observed_at", "seq")).alias("o"))
-    presence = F.when((F.col("o.presence") == "Absent") & F.col("o.coverage").isin("Partial", "Query"), "Unknown").otherwise(F.col("o.presence"))
+    presence = F.when((F.col("o.presence") == "Absent") & F.col("o.coverage").isin("PartialEnumeration", "QueryResult"), "Unknown").otherwise(F.col("o.presence"))
     digests = observations.where("digest is not null").groupBy("resource", "version").agg(F.count_distinct("digest").alias("n"))
     broken = digests.groupBy("resource").agg(F.bool_or(F.col("n") > 1).alias("integrity_conflict"))
     return latest.join(broken, "resource", "left").select("resource", presence.alias("presence"), F.coalesce("integrity_conflict", F.lit(False)).alias("integrity_conflict"))

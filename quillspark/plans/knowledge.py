@@ -30,12 +30,12 @@ _F.frame("knw01_resolve_assertions", lambda spark, d: resolve.resolve_assertions
 r AS (SELECT *, CASE origin WHEN 'Observed' THEN 2 WHEN 'Inferred' THEN 4 ELSE 3 END AS rank, bool_or(origin IN ('Authoritative', 'Curated')) OVER (PARTITION BY subject) AS p FROM a WHERE origin IS NOT NULL),
 k AS (SELECT * FROM r WHERE NOT (p AND origin = 'Inferred') QUALIFY rank = max(rank) OVER (PARTITION BY subject))
 SELECT subject, 'tax' AS predicate, CASE WHEN count(DISTINCT value) > 1 THEN 'Conflict' ELSE 'Resolved' END AS state, CASE WHEN count(DISTINCT value) = 1 THEN min(value) END AS value, max(rank) AS rank FROM k GROUP BY subject""")
-_KINDS = ("ContentDigest", "CanonicalUri", "NameSimilarity", "SchemaSimilarity")
+_KINDS = ("IntegrityDigest", "CanonicalUri", "NameSimilarity", "SchemaSimilarity")
 _F.frame("knw02_resolve_identity", lambda spark, d: resolve.resolve_identity(table(spark, d, "events").select(F.col("user_id").alias("pair"), F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("event_id") % 4 + 1).cast("int")).alias("kind"), (F.col("event_id") % 7 > 0).alias("supports")).where("pair % 3 = 0 or kind like '%Similarity'")),
          """SELECT user_id AS pair, CASE WHEN bool_or(event_id % 4 < 2 AND event_id % 7 > 0) AND bool_or(event_id % 4 < 2 AND event_id % 7 = 0) THEN 'Conflict' WHEN bool_or(event_id % 4 < 2 AND event_id % 7 > 0) THEN 'Resolved' WHEN bool_or(event_id % 4 < 2 AND event_id % 7 = 0) THEN 'Unresolved' WHEN bool_or(event_id % 4 >= 2 AND event_id % 7 > 0) THEN 'Provisional' ELSE 'Unresolved' END AS state
 FROM events WHERE user_id % 3 = 0 OR event_id % 4 >= 2 GROUP BY user_id""")
 _F.same("knw03_strong_kinds", "SELECT DISTINCT event_type, event_type IN ('purchase', 'signup') AS strong FROM events")
-_F.frame("knw04_effective_state", lambda spark, d: resolve.effective_state(table(spark, d, "events").select(F.col("user_id").alias("resource"), F.col("event_id").alias("seq"), F.col("ts").alias("observed_at"), F.when(F.col("event_type") == "error", "Absent").otherwise("Present").alias("presence"), F.when(F.col("event_id") % 2 == 0, "Query").otherwise("Complete").alias("coverage"), (F.col("event_id") % 4).alias("version"), F.col("event_type").alias("digest"))),
+_F.frame("knw04_effective_state", lambda spark, d: resolve.effective_state(table(spark, d, "events").select(F.col("user_id").alias("resource"), F.col("event_id").alias("seq"), F.col("ts").alias("observed_at"), F.when(F.col("event_type") == "error", "Absent").otherwise("Present").alias("presence"), F.when(F.col("event_id") % 2 == 0, "QueryResult").otherwise("CompleteEnumeration").alias("coverage"), (F.col("event_id") % 4).alias("version"), F.col("event_type").alias("digest"))),
          """WITH e AS (SELECT user_id AS resource, event_id, ts, CASE WHEN event_type = 'error' THEN 'Absent' ELSE 'Present' END AS presence, event_id % 2 = 0 AS query, event_id % 4 AS version, event_type FROM events),
 l AS (SELECT resource, presence, query FROM e QUALIFY row_number() OVER (PARTITION BY resource ORDER BY ts DESC, event_id DESC) = 1),
 g AS (SELECT resource, bool_or(n > 1) AS c FROM (SELECT resource, version, count(DISTINCT event_type) AS n FROM e GROUP BY resource, version) x GROUP BY resource)
@@ -87,12 +87,12 @@ _F.same("stm19_scheduled_publication", f"SELECT event_id FROM ({_OUTBOX}) o WHER
 def _audit_events(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     seq = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
-    return e.select(F.col("user_id").alias("log"), seq.alias("seq"), F.concat(F.lit("e"), "event_id").alias("event"), F.col("props").alias("envelope"))
+    return e.select(F.col("user_id").alias("log"), seq.alias("seq"), F.lpad(F.lower(F.hex("event_id")), 32, "0").alias("event"), F.col("props").alias("envelope"))
 
 
-_CHAIN = """WITH RECURSIVE e AS (SELECT user_id AS log, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, 'e' || event_id AS event, sha256(props) AS digest FROM events),
+_CHAIN = """WITH RECURSIVE e AS (SELECT user_id AS log, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, lpad(lower(hex(event_id)), 32, '0') AS event, sha256(props) AS digest FROM events),
 c(log, seq, event, digest, chain) AS (SELECT log, 0::BIGINT, '', '', sha256('kp-audit-chain-genesis-v1') FROM (SELECT DISTINCT log FROM e) l
-UNION ALL SELECT e.log, e.seq, e.event, e.digest, sha256(CAST('kp-audit-chain-v1' AS BLOB) || unhex(c.chain) || unhex(lpad(hex(e.seq), 16, '0')) || CAST(e.event AS BLOB) || unhex(e.digest)) FROM c JOIN e ON e.log = c.log AND e.seq = c.seq + 1)
+UNION ALL SELECT e.log, e.seq, e.event, e.digest, sha256(CAST('kp-audit-chain-v1' AS BLOB) || unhex(c.chain) || unhex(lpad(hex(e.seq), 16, '0')) || unhex(e.event) || unhex(e.digest)) FROM c JOIN e ON e.log = c.log AND e.seq = c.seq + 1)
 SELECT log, seq, event, digest, chain FROM c WHERE seq > 0"""
 _F.frame("aud01_chain", lambda spark, d: audit.build_chain(_audit_events(spark, d)), _CHAIN)
 _F.frame("win08_running_fold", lambda spark, d: audit.build_chain(_audit_events(spark, d)).groupBy("log").agg(F.max_by("chain", "seq").alias("head")), f"SELECT log, arg_max(chain, seq) AS head FROM ({_CHAIN}) x GROUP BY log")
@@ -125,7 +125,8 @@ WHEN event_id % 3 = 2 AND event_id % 5 <> 0 THEN 'quarantined_present' WHEN even
 _F.frame("aud07_reconcile", _reconciled, _RECONCILED)
 _F.frame("jon19_full_outer_classify", lambda spark, d: _reconciled(spark, d).groupBy("class").agg(F.count(F.lit(1)).alias("n")), f"SELECT class, count(*) AS n FROM ({_RECONCILED}) x GROUP BY class")
 _F.frame("aud09_counts_alarms", lambda spark, d: _reconciled(spark, d).groupBy("class").agg(F.count(F.lit(1)).alias("n")).withColumn("alarm", F.col("class").isin("digest_mismatch", "delivered_missing", "store_only")), f"SELECT class, count(*) AS n, class IN ('digest_mismatch', 'delivered_missing', 'store_only') AS alarm FROM ({_RECONCILED}) x GROUP BY class")
-_F.same("aud12_expired_set_digest", "SELECT user_id, sha2(array_join(transform(array_sort(collect_list(event_id)), x -> CAST(x AS STRING)), '|'), 256) AS digest FROM events WHERE event_type = 'error' GROUP BY user_id", "SELECT user_id, sha256(array_to_string(list_sort(list(event_id)), '|')) AS digest FROM events WHERE event_type = 'error' GROUP BY user_id")
+_EXPIRED = "SELECT user_id, sha256(CAST('kp-audit-expired-set-v1' AS BLOB) || unhex(string_agg(lpad(hex(event_id), 16, '0'), '' ORDER BY event_id))) AS digest FROM events WHERE event_type = 'error' GROUP BY user_id"
+_F.frame("aud12_expired_set_digest", lambda spark, d: table(spark, d, "events").where("event_type = 'error'").groupBy("user_id").agg(audit.expired_set_digest(F.collect_list("event_id")).alias("digest")), _EXPIRED)
 
 _F.same("arr01_dedup_keeping_order", "SELECT conv_id, array_join(array_distinct(transform(array_sort(collect_list(struct(turn, role))), x -> x.role)), ',') AS roles FROM conversations GROUP BY conv_id", "SELECT conv_id, string_agg(role, ',' ORDER BY first_turn) AS roles FROM (SELECT conv_id, role, min(turn) AS first_turn FROM conversations GROUP BY conv_id, role) x GROUP BY conv_id")
 _F.same("arr02_sorted_distinct", "SELECT l_orderkey, array_join(array_sort(collect_set(l_suppkey)), ',') AS suppliers FROM lineitem GROUP BY l_orderkey", "SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS suppliers FROM lineitem GROUP BY l_orderkey")

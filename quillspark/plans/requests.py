@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Callable
 
@@ -95,7 +96,8 @@ def _zips(spark: SparkSession, d: str) -> DataFrame:
 _F.frame("src09_archive_reader", _zips, "SELECT n_nationkey::BIGINT AS item, CASE WHEN n_nationkey % 3 = 0 THEN 'UnregisteredMember' ELSE 'ok' END AS outcome, CASE WHEN n_nationkey % 3 <> 0 THEN n_name END AS text FROM nation")
 _F.frame("src15_ooxml_sniff", lambda spark, d: spark.createDataFrame([(k, readers.detect_ooxml(_container(k, "x", "y"))) for k in ("docx", "xlsx", "pptx", "zip")], "container string, detected string"), "SELECT * FROM (VALUES ('docx', 'docx'), ('xlsx', 'xlsx'), ('pptx', 'pptx'), ('zip', NULL)) v(container, detected)")
 _F.frame("fpr02_text_projection", lambda spark, d: table(spark, d, "documents").select("doc_id", F.sha2(normalize_newlines(F.col("text")), 256).alias("fingerprint")), "SELECT doc_id, sha256(nfc_normalize(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)))) AS fingerprint FROM documents")
-_F.frame("dat06_retry_delay", lambda spark, d: spark.createDataFrame([(n, 2 ** (n - 1) <= retry_delay("e", n) <= 1.25 * 2 ** (n - 1), retry_delay("e", n) <= 300) for n in range(1, 9)] + [(10, False, retry_delay("e", 10) == 300)], "attempt int, within boolean, capped boolean"), "SELECT CAST(n AS INT) AS attempt, true AS within, true AS capped FROM range(1, 9) r(n) UNION ALL SELECT 10, false, true")
+_EVENT = uuid.UUID(int=7)
+_F.frame("dat06_retry_delay", lambda spark, d: spark.createDataFrame([(n, 2 ** (n - 1) <= retry_delay(_EVENT, n) <= 1.25 * 2 ** (n - 1), retry_delay(_EVENT, n) <= 300) for n in range(1, 9)] + [(10, False, retry_delay(_EVENT, 10) == 300)], "attempt int, within boolean, capped boolean"), "SELECT CAST(n AS INT) AS attempt, true AS within, true AS capped FROM range(1, 9) r(n) UNION ALL SELECT 10, false, true")
 _F.frame("mth03_mean_pool", lambda spark, d: table(spark, d, "embeddings").select("vec_id", vector.mean_pool(F.array(*(F.transform(F.slice("embedding", s, 2), lambda x: x.cast("double")) for s in (1, 2, 3))), F.array(F.lit(1), F.lit(0), F.lit(1))).alias("p")).select("vec_id", F.round(F.col("p")[0], 6).alias("x"), F.round(F.col("p")[1], 6).alias("y")),
          "SELECT vec_id, round(a / sqrt(a * a + b * b), 6) AS x, round(b / sqrt(a * a + b * b), 6) AS y FROM (SELECT vec_id, embedding[1]::DOUBLE + embedding[3]::DOUBLE AS a, embedding[2]::DOUBLE + embedding[4]::DOUBLE AS b FROM embeddings) x")
 _F.frame("fpr03_html_projection", lambda spark, d: html_nodes.html_fingerprints(table(spark, d, "pages").select(F.col("page_id").alias("id"), "html")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,13 +13,14 @@ MAX_ATTEMPTS, CAP_S = 8, 300
 STATE = "event_id long, attempts int, outcome string"
 
 
-def retry_delay(event_id: str, attempt: int) -> float:
+def retry_delay(event_id: uuid.UUID, attempt: int) -> float:
     """Seconds to wait after ``attempt``: doubling from one, a quarter of jitter by hash, at most ``CAP_S``."""
+    attempt = max(1, attempt)
     if attempt >= 10:
         return float(CAP_S)
-    base = 2.0 ** (attempt - 1)
-    digest = int.from_bytes(hashlib.sha256(f"{event_id}:{attempt}".encode()).digest(), "big")
-    return min(float(CAP_S), base + (digest % 1_000_001) / 1_000_000 * base / 4)
+    base = 1000 << (attempt - 1)
+    digest = hashlib.sha256(event_id.bytes + attempt.to_bytes(4, "big")).digest()
+    return min(base + int.from_bytes(digest, "big") % (base // 4 + 1), CAP_S * 1000) / 1000
 
 
 def _deliver(key, frames, state):

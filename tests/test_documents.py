@@ -1,5 +1,6 @@
 import io
 import random
+import uuid
 import zipfile
 
 import pytest
@@ -84,5 +85,5 @@ def test_retry_delay():
     rng = random.Random(1)
     for attempt in range(1, 10):
         base = 2.0 ** (attempt - 1)
-        assert base <= retry_delay(str(rng.random()), attempt) <= min(300, base * 1.25)
-    assert retry_delay("x", 10) == 300
+        assert base <= retry_delay(uuid.UUID(int=rng.getrandbits(128)), attempt) <= min(300, base * 1.25)
+    assert retry_delay(uuid.UUID(int=1), 10) == 300

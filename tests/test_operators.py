@@ -30,7 +30,7 @@ def test_genesis(value):
 
 
 def test_chain_verifies_and_finds_damage(spark):
-    events = spark.createDataFrame([(log, i, f"e{i}", f"body {i}") for log in ("a", "b") for i in range(1, 6)], "log string, seq long, event string, envelope string")
+    events = spark.createDataFrame([(log, i, f"{i:032x}", f"body {i}") for log in ("a", "b") for i in range(1, 6)], "log string, seq long, event string, envelope string")
     chain = audit.build_chain(events).join(events.select("log", "seq", "envelope"), ["log", "seq"])
     rows = sorted(chain.collect(), key=lambda r: (r.log, r.seq))
     genesis, out = "9ae4e1d7942ce318770de897b2a336edc2a9e700f8733f658dcdc2e563aff344", []
@@ -49,7 +49,7 @@ def test_authority(spark):
 
 
 def test_identity(spark):
-    rows = [(1, "NameSimilarity", True), (2, "ContentDigest", True), (2, "CanonicalUri", False), (3, "ContentDigest", True), (4, "ContentDigest", False)]
+    rows = [(1, "NameSimilarity", True), (2, "IntegrityDigest", True), (2, "CanonicalUri", False), (3, "IntegrityDigest", True), (4, "IntegrityDigest", False)]
     got = {r.pair: r.state for r in resolve.resolve_identity(spark.createDataFrame(rows, "pair int, kind string, supports boolean")).collect()}
     assert got == {1: "Provisional", 2: "Conflict", 3: "Resolved", 4: "Unresolved"}
 
