@@ -33,11 +33,12 @@ def encode_pieces(docs: DataFrame, tokenizer: str, kind: str, size: int, end_id:
         import pyarrow as pa
 
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-        encode, end = encoder(tokenizer, kind).encode, array("I", [end_id]).tobytes()
+        encode_all, end = encoder(tokenizer, kind).encode_all, array("I", [end_id]).tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "") + end
+            texts = (text.as_py() or "" for text in batch.column(1))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_all(texts)):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     for column, value in zip(out, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))):

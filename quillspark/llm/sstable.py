@@ -17,6 +17,7 @@ from array import array
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -62,12 +63,12 @@ def _take(data: bytes, at: int) -> tuple[int, int]:
 
 def pack_ids(ids: bytes) -> bytes:
     """32-bit ids as a width byte and 16-bit ids where they fit."""
-    wide = array("I", ids)
-    return b"\x02" + array("H", wide).tobytes() if max(wide, default=0) < 65536 else b"\x04" + ids
+    wide = np.frombuffer(ids, "<u4")
+    return b"\x02" + wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 65536 else b"\x04" + ids
 
 
 def unpack_ids(value: bytes) -> bytes:
-    return array("I", array("H", value[1:])).tobytes() if value[:1] == b"\x02" else value[1:]
+    return np.frombuffer(value, "<u2", offset=1).astype("<u4").tobytes() if value[:1] == b"\x02" else value[1:]
 
 
 def n_ids(value: bytes) -> int:
@@ -215,12 +216,13 @@ def write_token_table(docs: DataFrame, path: str, tokenizer: str, kind: str = "b
         fs, folder = _open(path)
         fs.create_dir(folder, recursive=True)
         name, part = f"{folder}/shard-{shard:06d}.sst", f"{folder}/.shard-{shard:06d}-{attempt}"
-        encode, end = encoder(tokenizer, kind).encode, array("I", [end_id]).tobytes()
+        encode_all, end = encoder(tokenizer, kind).encode_all, array("I", [end_id]).tobytes()
         with fs.open_output_stream(part) as sink:
             writer = Writer(sink)
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    writer.add(key_of(doc_id), pack_ids(encode(text.as_py() or "") + end))
+                texts = (text.as_py() or "" for text in batch.column(1))
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encode_all(texts)):
+                    writer.add(key_of(doc_id), pack_ids(ids + end))
             writer.close()
         if fs.get_file_info(name).type != pafs.FileType.NotFound:
             fs.delete_file(name)

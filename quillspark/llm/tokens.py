@@ -9,9 +9,14 @@ between Unicode versions, go through the library whole.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain
+
+import numpy as np
 
 #: Characters of the fast path: ASCII without rare controls, Latin-1, Latin Extended-A without U+0130, some punctuation.
 _RARE = re.compile("[^\t\n\r\x20-\x7e\xa0-įı-ſ‐-‧€]")
@@ -23,6 +28,8 @@ _SPLIT = {
 }
 #: Pieces that a worker remembers, in each of two generations, and the longest of them.
 REMEMBERED, LONGEST = 500_000, 40
+#: Characters of texts that are split before their new pieces are encoded together.
+TOGETHER = 500_000
 
 _encoders: dict[tuple[str, str], "Encoder"] = {}
 
@@ -38,12 +45,15 @@ class _Pieces(dict):
         if ids is None:
             ids = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
         if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = ids
+            self.put(piece, ids)
         return ids
 
+    def put(self, piece: str, ids: bytes) -> None:
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+
 
 class Encoder:
     """``kind`` is the vocabulary's way to split: "byte" or "word"."""
@@ -58,9 +68,41 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if _RARE.search(text):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.pieces.__getitem__, self.split(text.lower() if self.lower else text)))
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text; new pieces of many texts go to the library in one call."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._encode(held)
+                held, size = [], 0
+        yield from self._encode(held)
+
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
+        rare = [_RARE.search(t) is not None for t in texts]
+        pieces = [() if r else self.split(t.lower() if self.lower else t) for t, r in zip(texts, rare)]
+        self._learn(set(chain.from_iterable(pieces)))
+        for text, whole, parts in zip(texts, rare, pieces):
+            if whole:
+                yield array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            else:
+                yield b"".join(map(self.pieces.__getitem__, parts))
+
+    def _learn(self, distinct: set[str]) -> None:
+        """Encode new pieces of one space and letters (letters alone, for "word") as one text, which splits at just these pieces."""
+        known, older = self.pieces, self.pieces.older
+        new = [p for p in distinct if p not in known and p not in older and len(p) <= LONGEST and (p.isalpha() if self.lower else p[0] == " " and p[1:].isalpha())]
+        for some in (new[i : i + 300] for i in range(0, len(new), 300)):
+            found = self.tokenizer.encode((" " if self.lower else "").join(some), add_special_tokens=False)
+            words = np.array(found.word_ids)
+            ids, cuts = np.array(found.ids, np.uint32), np.flatnonzero(np.diff(words, prepend=-1))
+            if len(cuts) == len(some):
+                data, ends = ids.tobytes(), [*cuts[1:].tolist(), len(ids)]
+                for piece, at, end in zip(some, cuts.tolist(), ends):
+                    known.put(piece, data[4 * at : 4 * end])
 
 
 def encoder(path: str, kind: str) -> Encoder:
@@ -68,3 +110,10 @@ def encoder(path: str, kind: str) -> Encoder:
     if (path, kind) not in _encoders:
         _encoders[path, kind] = Encoder(path, kind)
     return _encoders[path, kind]
+
+
+def forget() -> None:
+    """Drop what this worker's encoders remember; workers are shared by stages, and the next may need the memory."""
+    if _encoders:
+        _encoders.clear()
+        gc.collect()
