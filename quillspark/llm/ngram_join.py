@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillspark.llm.components import connected_components
 from quillspark.llm.shingles import mix, shingle_set
+from quillspark.llm.tokens import forget
 from quillspark.operators.skew import hot_cold_join
 from quillspark.scratch import materialize, release
 
@@ -138,6 +139,7 @@ def _verify(threshold: float):
     def run(batches: Iterable):
         import pyarrow as pa
 
+        forget()
         out: list[list] = [[], [], []]
         for low, high, band, bucket, block, key, bands, data in _groups(batches, 4):
             n = len(key)
@@ -173,6 +175,7 @@ def _sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterable):
         import pyarrow as pa
 
+        forget()
         family = _hash_family(bands, rows)
         for batch in batches:
             keys, hashes = [], []

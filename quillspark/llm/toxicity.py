@@ -15,6 +15,7 @@ class; its size is bounded by that sample.  Scoring reads whole texts.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections import Counter
 from collections.abc import Iterable
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillspark.llm.quality import COMMON_WORDS
+from quillspark.llm.tokens import forget
 
 MAX_ROWS, WIDTHS, FILTERS, DIM, MAX_FEATURES = 2500, (1, 2, 3), 6, 6, 50_000
 ACCEPT = 0.7
@@ -117,33 +119,44 @@ def _forward(batch: list[np.ndarray], e: np.ndarray, f: dict, b: dict):
     return x, starts + pad, pooled, won
 
 
+def _vocabulary(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Word numbers of each text, the three feature hashes of each word (0 for none), and each text's language."""
+    numbers: dict[str, int] = {}
+    docs, langs = [], []
+    for text in texts:
+        words = words_of(text)
+        docs.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words)))
+        langs.append(guess_language(words))
+    feats = np.zeros((len(numbers), 3), np.uint64)
+    for i, word in enumerate(numbers):
+        found = features_of(word)
+        feats[i, : len(found)] = found
+    return docs, feats, np.array(langs, str)
+
+
 def train(texts: list[str], labels: np.ndarray, seed: int = 5, epochs: int = 6, rate: float = 0.02, batch_size: int = 64) -> Model:
     """Fit on ``texts``; every fifth row calibrates and is not trained on.  Needs no class to be present."""
     rng = np.random.default_rng(seed)
-    words = [words_of(t) for t in texts]
     labels = np.asarray(labels, float)
     held = np.arange(len(texts)) % 5 == 4
-    memo: dict[str, list[int]] = {}
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    docs, feats, langs = _vocabulary(texts)
+    # Documents of each class that have a feature, by the features' sorted hashes.
+    known, at = np.unique(feats, return_inverse=True)
+    at = at.reshape(feats.shape)
+    seen = np.zeros((2, len(known)))
     for i in np.flatnonzero(~held):
-        grams = set()
-        for w in set(words[i]):
-            if w not in memo:
-                memo[w] = features_of(w)
-            grams.update(memo[w])
-        seen[int(labels[i])].update(grams)
+        seen[int(labels[i]), np.unique(at[np.unique(docs[i])])] += 1
     n_bad, n_good = max(1, int(labels[~held].sum())), max(1, int((1 - labels[~held]).sum()))
     # Log odds in units of their deviation; words that are rare in both classes say nothing.
-    weight = {}
-    for h in seen[1].keys() | seen[0].keys():
-        t, c = seen[1][h], seen[0][h]
-        z = (np.log((t + 0.5) / (n_bad + 1)) - np.log((c + 0.5) / (n_good + 1))) / np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-        if abs(z) > 2.5:
-            weight[h] = z
-    kept = sorted(weight, key=lambda h: (-abs(weight[h]), h))[:MAX_FEATURES]
-    row = {h: i + 1 for i, h in enumerate(kept)}
+    weight = (np.log((seen[1] + 0.5) / (n_bad + 1)) - np.log((seen[0] + 0.5) / (n_good + 1))) / np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5))
+    weight[(np.abs(weight) <= 2.5) | (seen.sum(0) == 0) | (known == 0)] = 0
+    order = np.lexsort((known, -np.abs(weight)))
+    order = order[weight[order] != 0][:MAX_FEATURES]
+    kept = known[order]
+    row = np.zeros(len(known), np.int64)
+    row[order] = np.arange(1, len(order) + 1)
     e = rng.normal(0, 0.02, (len(kept) + 1, DIM))
-    e[1:, 0] = [np.clip(weight[h] / 4, -1.5, 1.5) for h in kept]
+    e[1:, 0] = np.clip(weight[order] / 4, -1.5, 1.5)
     e[0] = 0
     f = {w: rng.normal(0, 0.1, (w, DIM, FILTERS)) for w in WIDTHS}
     for w in WIDTHS:
@@ -152,8 +165,14 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, epochs: int = 6,
     out, out_bias = rng.normal(0, 0.1, FILTERS * len(WIDTHS)), np.zeros(1)
     out.reshape(len(WIDTHS), FILTERS)[:, : FILTERS // 2] += 0.5
     out_bias -= 1
-    rows = [[[row[h] for h in memo.get(w) or features_of(w) if h in row] for w in ws] for ws in words]
-    flat = [(np.array([r for x in d for r in x], np.int64), np.repeat(np.arange(len(d)), [len(x) for x in d]), len(d)) for d in rows]
+    # Each word's rows of the embedding table; 0 stands for features that are not kept.
+    rows_of = row[at]
+    flat = []
+    for d in docs:
+        ids = rows_of[d]
+        where, which = np.nonzero(ids)
+        flat.append((ids[where, which], where, len(d)))
+    del feats, known, at, seen, weight, row, rows_of
 
     def embed(i: int) -> np.ndarray:
         ids, at, n = flat[i]
@@ -197,9 +216,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, epochs: int = 6,
                 np.add.at(grad_e, ids, grad_x[s + at])
             adam("e", e, grad_e, step)
             e[0] = 0
-    model = Model(np.array(kept, np.uint64), e[1:].astype(np.float32), f, b, out, float(out_bias[0]), {"": 0.0}).start()
+    model = Model(kept, e[1:].astype(np.float32), f, b, out, float(out_bias[0]), {"": 0.0}).start()
     z = np.array([model.logit(t) for t in texts])
-    langs = np.array([guess_language(w) for w in words])
     # Languages with few positives share the overall threshold.
     enough = min(labels[held].sum(), (1 - labels[held]).sum()) >= 8
     model.shifts = {"": _shift(z[held], labels[held]) if enough else _shift(z, labels)}
@@ -253,10 +271,14 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", name: str
     def run(batches: Iterable):
         import pyarrow as pa
 
+        forget()
         scorer = Model(*weights).start()
         for batch in batches:
             scores = [scorer.score(text.as_py() or "") for text in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, name])
+        # The scorer's memory refers to itself, and the worker lives on.
+        del scorer
+        gc.collect()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
