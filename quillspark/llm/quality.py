@@ -6,6 +6,8 @@ reference is the mean histogram of that language's documents that pass the base
 rules and are nearer than the mean to a first such mean.  A
 document is rejected if a distance is over its limit; the limits widen for short
 texts, whose histograms scatter, and below a minimum length there is no verdict.
+The word limit is what as many words drawn from the reference itself would reach,
+and lies below the distance of a text without common words.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ COMMON_WORDS = {
 CLASSES = ["space", "lower", "upper", "digit", "symbol", "period", "comma", "shout", "other", "accented", "accented upper", "foreign"]
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MIN_DOCS = 30, 5
-CLASS_LIMIT, CLASS_SLACK, WORD_LIMIT, WORD_SLACK = 0.15, 1.8, 0.28, 2.5
+CLASS_LIMIT, CLASS_SLACK = 0.15, 1.8
+#: Deviations over the expected word distance, and the most of the distance of a text without common words.
+WORD_DEVIATIONS, WORD_SHARE = 3.0, 0.98
 
 
 def _class_table() -> np.ndarray:
@@ -136,6 +140,18 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d / 2, 0))
 
 
+def word_limits(reference: np.ndarray, deviations: float = WORD_DEVIATIONS, share: float = WORD_SHARE, draws: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of text lengths, and the limit of the word distance at each.
+
+    The distance of ``draws`` texts drawn from the reference, its mean and so many deviations.  Longer texts
+    than the last length have its limit.
+    """
+    rng, lengths = np.random.default_rng(2), np.unique(np.geomspace(10, 30_000, 25).astype(int))
+    none = js_distance(np.eye(len(reference))[-1], reference)
+    drawn = [js_distance(rng.multinomial(n, reference / reference.sum(), draws) / n, reference[None]) for n in lengths]
+    return np.log(lengths), np.array([min(d.mean() + deviations * d.std(), share * none) for d in drawn])
+
+
 def _distances(pdf, references: dict[str, tuple[np.ndarray, np.ndarray]]):
     """Per row: language compared with, class distance, word distance, characters and words compared."""
     n = len(pdf)
@@ -172,13 +188,13 @@ def trimmed_references(features: DataFrame, min_docs: int = MIN_DOCS) -> dict[st
     return first | language_references(measured.where(near), min_docs)
 
 
-def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS, class_limit: float = CLASS_LIMIT, class_slack: float = CLASS_SLACK, word_limit: float = WORD_LIMIT, word_slack: float = WORD_SLACK, common: dict[str, list[str]] = COMMON_WORDS) -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS, class_limit: float = CLASS_LIMIT, class_slack: float = CLASS_SLACK, word_deviations: float = WORD_DEVIATIONS, word_share: float = WORD_SHARE, common: dict[str, list[str]] = COMMON_WORDS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, lang, text): base counts, distances and verdict.
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, reference (language compared with), class_js,
-    word_js, kept.  A limit grows by its slack / sqrt(count), count being the
-    characters or words compared.  A document whose language is null or has no
+    word_js, kept.  The class limit grows by its slack / sqrt(characters
+    compared); for the word limit see ``word_limits``.  A document whose language is null or has no
     reference is compared with all, and the nearest counts; with no reference at
     all the distances are null and the base rules decide alone.  Null texts have
     no words and fail.  Repeated rows are judged alike; empty tables give empty
@@ -186,11 +202,16 @@ def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS, class_limit: floa
     """
     features = materialize(document_features(docs, common), "quality-features")
     references = trimmed_references(features)
+    limits = {lang: word_limits(words, word_deviations, word_share) for lang, (_, words) in references.items()}
 
     def judge(frames: Iterable):
         for pdf in frames:
             reference, class_js, word_js, chars, count = _distances(pdf, references)
-            far = (class_js > class_limit + class_slack / np.sqrt(np.maximum(chars, 1))) | (word_js > word_limit + word_slack / np.sqrt(np.maximum(count, 1)))
+            word_limit = np.full(len(pdf), np.nan)
+            for name, (at, limit) in limits.items():
+                take = reference == name
+                word_limit[take] = np.interp(np.log(np.maximum(count[take], 1)), at, limit)
+            far = (class_js > class_limit + class_slack / np.sqrt(np.maximum(chars, 1))) | (word_js > word_limit)
             pdf = pdf.drop(columns=["lang", "classes", "common"])
             pdf["reference"], pdf["class_js"], pdf["word_js"] = reference, class_js, word_js
             pdf["kept"] = ~pdf["base_failed"].to_numpy(bool) & ~(far & (pdf["n_words"].to_numpy() >= min_words))

@@ -1,8 +1,9 @@
+import random
 from collections import Counter
 
 import numpy as np
 
-from quillspark.llm.quality import js_distance, quality_rules, repeated_words
+from quillspark.llm.quality import COMMON_WORDS, js_distance, quality_rules, repeated_words
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -46,6 +47,18 @@ def test_junk_goes_and_prose_stays(spark, small):
     assert np.mean(clean) > 0.95 and np.mean(junk) < 0.35
 
 
+def test_text_without_common_words_goes(make_docs):
+    rng = random.Random(9)
+    other = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    prose = lambda n, share: " ".join(rng.choice(COMMON_WORDS["en"] if rng.random() < share else other) for _ in range(n))
+    lengths = [60, 80, 100, 150, 200, 300, 400]
+    rows = [(i, prose(rng.randrange(60, 600), 0.28)) for i in range(200)]
+    rows += [(1000 + n, prose(n, 0)) for n in lengths]
+    got = {r.doc_id: r for r in quality_rules(make_docs(rows)).collect()}
+    assert not any(got[1000 + n].kept or got[1000 + n].base_failed for n in lengths)
+    assert np.mean([got[i].kept for i in range(200)]) > 0.95
+
+
 def test_empty(make_docs):
     assert quality_rules(make_docs([])).count() == 0
     assert [r.kept for r in quality_rules(make_docs([(1, None)])).collect()] == [False]
