@@ -4,17 +4,17 @@
    equal siblings are folded into repeated groups: a union-free expression of
    one page.
 2. Per host and expression, counts and the least and greatest hash of each
-   slot's text are aggregated; a slot whose two hashes agree over several pages
-   holds constant text.  These combine on the map side, so a host with a third
+   slot's text are aggregated; a slot of the wrapper whose two hashes agree over
+   several pages holds constant text.  These combine on the map side, so a host with a third
    of all pages is no single task's work.
 3. The few distinct expressions of a host are aligned one after another into
    its wrapper.  Where streams differ, what one of them lacks becomes an
    optional group, what repeats a neighbour becomes a repeated group, and texts
    that differ stay slots.
-4. Slots of the wrapper are told to be content or not by the regions that
-   enclose them; on hosts without such regions, by how much varying text they
-   hold.  Each page's expression is mapped to its wrapper, and its content slots
-   are joined in page order.
+4. Each page's expression is mapped to its wrapper.  Its slots are told to be
+   content or not by the regions that enclose them; on pages without such
+   regions, all varying text in the block of the strongest slot is content.
+   Content slots are joined in page order.
 """
 
 from __future__ import annotations
@@ -35,9 +35,10 @@ from quillspark.scratch import materialize
 #: Elements by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
+BLOCKS = frozenset("div section".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CONTENT = frozenset("article main".split())
-BOILERPLATE = frozenset("nav footer aside form button select dialog menu head figcaption".split()) | RAW
+BOILERPLATE = frozenset("nav footer aside form button select dialog menu head".split()) | RAW
 HINTS = re.compile(r"(?i)(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumb\w*|comment\w*|cookie\w*|consent|footer|header|masthead|menu|modal|nav\w*|newsletter|notice|popup|promo\w*|related|repl(?:y|ies)|share\w*|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?=$|[\s_-])")
 #: Elements that an opening tag closes if they are open.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -198,17 +199,25 @@ def region(path: str) -> str:
     return inside or "open"
 
 
-def content_nodes(wrapper: list[list], varying: dict[int, int]) -> set[int]:
-    """Wrapper nodes that hold main text; ``varying`` is the varying text per node.
+def outer_block(path: str) -> str:
+    """Path of the outermost block around a slot; "" for one that lies in none."""
+    marks = path.split("/")
+    return next(("/".join(marks[: k + 1]) for k, mark in enumerate(marks) if mark in BLOCKS), "")
 
-    Content regions decide where there are any.  Elsewhere, open nodes count
-    that hold varying text, at least a tenth of what the strongest one holds.
+
+def content_nodes(nodes: list[list], varying: dict[int, int]) -> set[int]:
+    """Nodes of a page that hold main text; ``varying`` is the varying text per node.
+
+    Content regions decide where there are any.  Elsewhere, all open nodes count
+    that hold varying text and lie in no other outermost block than the
+    strongest one; if that lies in none, all of them.
     """
-    regions = [region(path) for path, _, _ in wrapper]
+    regions = [region(node[0]) for node in nodes]
     if "content" in regions:
         return {i for i, r in enumerate(regions) if r == "content"}
-    strong = max((varying.get(i, 0) for i, r in enumerate(regions) if r == "open"), default=0)
-    return {i for i, r in enumerate(regions) if r == "open" and varying.get(i, 0) * 10 >= strong and varying.get(i, 0) > 0}
+    found = {i: outer_block(nodes[i][0]) for i, r in enumerate(regions) if r == "open" and varying.get(i, 0) > 0}
+    block = found[max(found, key=varying.__getitem__)] if found else ""
+    return {i for i, inside in found.items() if not block or inside in (block, "")}
 
 
 def _parse(with_texts: bool):
@@ -244,13 +253,22 @@ def _wrap(pdf):
     found = {e: json.loads(e) for e in dict.fromkeys(pdf["expression"])}
     wrapper = infer_wrapper(list(found.values()))
     places = {e: align(wrapper, nodes)[1] for e, nodes in found.items()}
-    varying: dict[int, int] = defaultdict(int)
-    for e, slot, same, total, pages in pdf[["expression", "slot", "same", "total", "pages"]].itertuples(index=False):
-        # Constant over several pages: template text.  A lone page tells nothing, so its text counts.
-        if slot >= 0 and not (same and pages > 1):
-            varying[places[e][slot]] += int(total)
-    content = content_nodes(wrapper, varying)
-    rows = [(pdf["host"].iloc[0], e, [i for i, p in enumerate(places[e]) if p in content], int(pdf.loc[pdf["expression"] == e, "pages"].iloc[0]), json.dumps(wrapper, ensure_ascii=False)) for e in found]
+    seen: dict[int, tuple[int, int, int]] = {}
+    texts: dict[str, dict[int, int]] = defaultdict(dict)
+    for e, slot, low, high, total, pages in pdf[["expression", "slot", "low", "high", "total", "pages"]].itertuples(index=False):
+        if slot >= 0:
+            n, least, most = seen.get(places[e][slot], (0, low, high))
+            seen[places[e][slot]] = n + pages, min(least, low), max(most, high)
+            texts[e][slot] = int(total)
+    # Constant over several pages: template text.  A lone page tells nothing, so its text counts.
+    varies = {p for p, (n, least, most) in seen.items() if n == 1 or least != most}
+    pages_of = dict(zip(pdf["expression"], pdf["pages"]))
+    rows = []
+    for e, nodes in found.items():
+        varying = {i: n for i, n in texts[e].items() if places[e][i] in varies}
+        # Copies of one page have no varying text and are as a lone page.
+        content = content_nodes(nodes, varying) or content_nodes(nodes, texts[e])
+        rows.append((pdf["host"].iloc[0], e, sorted(content), int(pages_of[e]), json.dumps(wrapper, ensure_ascii=False)))
     return pd.DataFrame(rows, columns=["host", "expression", "content", "pages", "wrapper"])
 
 
@@ -258,8 +276,8 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
     """host, expression, content (node numbers), pages, wrapper: one row per host and expression of ``pages`` (row, host, html)."""
     slots = pages.mapInArrow(_parse(False), "host string, expression string, slots array<struct<h:long,n:long>>")
     each = slots.select("host", "expression", F.posexplode_outer("slots").alias("slot", "s"))
-    stats = each.groupBy("host", "expression", F.coalesce("slot", F.lit(-1)).alias("slot")).agg(F.count(F.lit(1)).alias("pages"), (F.min("s.h") == F.max("s.h")).alias("same"), F.coalesce(F.sum("s.n"), F.lit(0).cast("long")).alias("total"))
-    return stats.withColumn("same", F.coalesce("same", F.lit(True))).groupBy("host").applyInPandas(_wrap, "host string, expression string, content array<int>, pages long, wrapper string")
+    stats = each.groupBy("host", "expression", F.coalesce("slot", F.lit(-1)).alias("slot")).agg(F.count(F.lit(1)).alias("pages"), *(F.coalesce(f("s.h"), F.lit(0).cast("long")).alias(name) for f, name in ((F.min, "low"), (F.max, "high"))), F.coalesce(F.sum("s.n"), F.lit(0).cast("long")).alias("total"))
+    return stats.groupBy("host").applyInPandas(_wrap, "host string, expression string, content array<int>, pages long, wrapper string")
 
 
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id") -> DataFrame:

@@ -25,6 +25,28 @@ def test_pages_without_regions_use_the_wrapper(spark):
         assert got[i] == " ".join(("story %d " % i * 20).split()) + " " + " ".join(("story %d " % i * 20).split()) + " more"
 
 
+def test_regions_are_decided_page_by_page(spark):
+    article, other = "<body><article><p>{0}</article>", "<body><div class=text><section><h2>Head {0}</h2><p>{0}</section></div><footer>f</footer>"
+    pages = [(1, "http://a.org/1", article.format("one " * 50)), (2, "http://a.org/2", other.format("two " * 50)), (3, None, article.format("three")), (4, None, other.format("four")), (5, "nohost", "<body><p>five")]
+    got = {r.page_id: r.text.split() for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: ["one"] * 50, 2: ["Head"] + ["two"] * 100, 3: ["three"], 4: ["Head", "four", "four"], 5: ["five"]}
+
+
+def test_weak_slots_of_open_pages_stay(spark):
+    page = "<body><h1>Top</h1><div><h1>Title</h1><p>" + "long " * 1000 + "</p><h2>Sub</h2><ul><li>a<li>b</ul><blockquote>Said</blockquote><figure><figcaption>Seen</figcaption></figure><section><p>End</p></section></div><section><p>Elsewhere</p></section><nav>n</nav>"
+    pages = [(1, "http://lone.org/1", page), (2, "http://twice.org/1", page), (2, "http://twice.org/1", page), (3, "http://b.org", "<article><p>x<figure><figcaption>Seen</figcaption></figure></article>")]
+    got = sorted((r.page_id, r.text) for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect())
+    text = "Top Title " + "long " * 1000 + "Sub a b Said Seen End"
+    assert got == [(1, text), (2, text), (2, text), (3, "x Seen")]
+
+
+def test_template_text_is_known_across_expressions(spark):
+    page = "<body><div><p>Welcome to us</p>{1}<h2>{0}</h2></div>"
+    pages = [(i, f"http://plain.org/{i}", page.format(f"story {i}", "<ul><li>x%d</ul>" % i * (i % 2))) for i in range(4)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {0: "story 0", 1: "x1 story 1", 2: "story 2", 3: "x3 story 3"}
+
+
 def test_alignment():
     a, b = [["x", False], ["y", False], ["z", False]], [["x", False], ["z", True], ["w", False]]
     wrapper, where = align([[p, r, False] for p, r in a], b)
