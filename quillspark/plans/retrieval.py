@@ -108,9 +108,9 @@ _F.frame("mth02_vector_validity", lambda spark, d: _vectors(spark, d).select("id
 _F.same("mth06_log_gain", "SELECT l_linenumber AS rank, round(1 / log2(l_linenumber + 1), 9) AS gain FROM (SELECT DISTINCT l_linenumber FROM lineitem) x")
 
 
-def _lineitem_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Relations part - supplier of the first lines of orders, and customer - order."""
-    item = table(spark, d, "lineitem").where("l_linenumber = 1 and l_orderkey % 5 = 0").select("l_orderkey", "l_partkey", "l_suppkey").distinct()
+def _lineitem_graph(spark: SparkSession, d: str, lines: str) -> tuple[DataFrame, DataFrame]:
+    """Relations part - supplier of the line items that ``lines`` holds for."""
+    item = table(spark, d, "lineitem").where(lines).select("l_orderkey", "l_partkey", "l_suppkey").distinct()
     key = F.concat(F.lit("l"), "l_orderkey", F.lit("-"), "l_partkey", F.lit("-"), "l_suppkey")
     part = item.select(key.alias("relation_id"), F.lit("part").alias("role"), F.concat(F.lit("p"), "l_partkey").alias("resource"))
     supplier = item.select(key.alias("relation_id"), F.lit("supplier").alias("role"), F.concat(F.lit("s"), "l_suppkey").alias("resource"))
@@ -118,8 +118,8 @@ def _lineitem_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return participants, participants.select("relation_id").distinct().withColumn("relation_type", F.lit("supply"))
 
 
-def _paths(spark: SparkSession, d: str, visible: bool = False) -> DataFrame:
-    participants, relations = _lineitem_graph(spark, d)
+def _paths(spark: SparkSession, d: str, visible: bool = False, lines: str = "l_linenumber = 1 and l_orderkey % 5 = 0") -> DataFrame:
+    participants, relations = _lineitem_graph(spark, d, lines)
     seeds = spark.createDataFrame([("s1",), ("s2",)], "resource string")
     seen = participants.select("resource").distinct().where("resource not like 'p%7'") if visible else None
     return graph.traverse(participants, relations, seeds, [graph.Hop("supply", "supplier", "part"), graph.Hop("supply", "part", "supplier")], seen)
@@ -131,6 +131,12 @@ _F.frame("grf01_traversal", lambda spark, d: _paths(spark, d).select("start", "r
 _F.frame("grf02_traversal_by_end", lambda spark, d: _paths(spark, d).groupBy("resource").agg(F.count(F.lit(1)).alias("paths")), f"SELECT resource, count(*) AS paths FROM ({_PATHS}) x GROUP BY resource")
 _F.frame("grf03_visibility", lambda spark, d: _paths(spark, d, True).select("start", "resource"), _PATHS + " AND a.l_partkey % 10 <> 7")
 _F.frame("grf04_group_paths", lambda spark, d: graph.group_paths(_paths(spark, d)).select("resource", "paths"), f"SELECT resource, count(*) AS paths FROM ({_PATHS}) x GROUP BY resource")
+# The same over all line items; the SQL of the four above is kept as given, with its cut.
+_ALL_PATHS = "WITH l AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem) SELECT 's' || a.l_suppkey AS start, 's' || b.l_suppkey AS resource FROM l a JOIN l b ON a.l_partkey = b.l_partkey WHERE a.l_suppkey IN (1, 2)"
+_F.frame("grf01_traversal_all_lines", lambda spark, d: _paths(spark, d, lines="true").select("start", "resource"), _ALL_PATHS)
+_F.frame("grf02_traversal_by_end_all_lines", lambda spark, d: _paths(spark, d, lines="true").groupBy("resource").agg(F.count(F.lit(1)).alias("paths")), f"SELECT resource, count(*) AS paths FROM ({_ALL_PATHS}) x GROUP BY resource")
+_F.frame("grf03_visibility_all_lines", lambda spark, d: _paths(spark, d, True, "true").select("start", "resource"), _ALL_PATHS + " AND a.l_partkey % 10 <> 7")
+_F.frame("grf04_group_paths_all_lines", lambda spark, d: graph.group_paths(_paths(spark, d, lines="true")).select("resource", "paths"), f"SELECT resource, count(*) AS paths FROM ({_ALL_PATHS}) x GROUP BY resource")
 _F.same("grf06_returned_path_check", f"SELECT a.l_orderkey, a.l_suppkey = 1 OR a.l_suppkey = 2 AS from_seed, a.l_partkey = b.l_partkey AS connected FROM {_L} a JOIN {_L} b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey".replace(") a JOIN", ") a JOIN"))
 _F.same("grf07_pattern_lookup", "SELECT DISTINCT l_orderkey AS relation_id FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey = 3")
 _F.same("grf08_relation_validation", "SELECT l_orderkey, count(*) >= 2 AS enough, bool_and(l_returnflag <> '') AS roles_ok FROM lineitem GROUP BY l_orderkey")
