@@ -3,6 +3,7 @@
 from collections import Counter
 
 from quillspark import catalog
+from quillspark.plans import documents
 from quillspark.tables import table
 
 
@@ -14,3 +15,14 @@ def test_traversal_follows_every_line_item(spark, small):
     want = Counter((f"s{a}", f"s{b}") for _, part, a in lines if a in (1, 2) for b in of_part[part])
     got = Counter((r.start, r.resource) for r in catalog.queries()["grf01_traversal_all_lines"](spark, small).collect())
     assert got == want and sum(want.values()) > catalog.queries()["grf01_traversal"](spark, small).count()
+
+
+def test_diffed_tables_hold_every_customer(spark, small):
+    larger = small.replace("0.001", "0.01")
+    rows = documents._tables(spark, larger).collect()
+    assert sum(len(r.base.split("\n")) for r in rows) == table(spark, larger, "customer").count() > 500
+
+
+def test_locators_are_resolved_in_all_items(spark, small):
+    got = {r.item for r in catalog.queries()["src12_resolve_locators_all_items"](spark, small).collect()}
+    assert max(got) >= 20 and got == {r.doc_id for r in table(spark, small, "documents").collect() if r.text.split("\n")[0]}
