@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.operators import versions
 from quillspark.plans.binding import Family
@@ -104,12 +105,20 @@ _F.same("evl09_path_classification", "SELECT l_orderkey, CASE WHEN count(*) = 1
 _F.same("evl10_nary_composite", "SELECT a.l_orderkey, count(*) AS composites FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_returnflag = b.l_returnflag AND a.l_suppkey <> b.l_suppkey GROUP BY a.l_orderkey")
 
 
+RESAMPLES = 10_000
+
+
 def _bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """Paired bootstrap: resamples draw items by hash, so they repeat exactly."""
-    items = table(spark, d, "documents").where("doc_id < 60").select(F.row_number().over(Window.orderBy("doc_id")).alias("i"), (F.col("n_chars") % 7 - 3).alias("diff"))
-    n = 60
-    draws = spark.range(1000).select(F.col("id").alias("sample"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("k")).select("sample", (F.pmod(F.xxhash64("sample", "k"), F.lit(n)) + 1).alias("i"))
-    means = draws.join(F.broadcast(items), "i").groupBy("sample").agg(F.avg("diff").alias("m"))
+    """Paired bootstrap of all documents; a fixed seed repeats it exactly.
+
+    A resample's mean needs only how often each difference was drawn, which is multinomial.
+    """
+    counts = table(spark, d, "documents").groupBy((F.col("n_chars") % 7 - 3).alias("diff")).count().where("diff is not null").orderBy("diff").collect()  # at most 13 rows
+    n = sum(r["count"] for r in counts)
+    if not n:
+        return spark.createDataFrame([(None, None)], "low double, high double")
+    drawn = np.random.default_rng(11).multinomial(n, [r["count"] / n for r in counts], RESAMPLES)
+    means = spark.createDataFrame([(float(m),) for m in drawn @ [r["diff"] for r in counts] / n], "m double")
     return means.agg(F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"))
 
 

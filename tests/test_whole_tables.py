@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import numpy as np
+
 from quillspark import catalog
 from quillspark.plans import documents
 from quillspark.tables import table
@@ -26,3 +28,18 @@ def test_diffed_tables_hold_every_customer(spark, small):
 def test_locators_are_resolved_in_all_items(spark, small):
     got = {r.item for r in catalog.queries()["src12_resolve_locators_all_items"](spark, small).collect()}
     assert max(got) >= 20 and got == {r.doc_id for r in table(spark, small, "documents").collect() if r.text.split("\n")[0]}
+
+
+def test_bootstrap_draws_all_documents(spark, small):
+    larger = small.replace("0.001", "0.01")
+    diffs = [r.n_chars % 7 - 3 for r in table(spark, larger, "documents").select("n_chars").collect()]
+    low, high = catalog.queries()["evl05_paired_bootstrap"](spark, larger).first()
+    error = np.std(diffs) / len(diffs) ** 0.5
+    assert documents.RESAMPLES == 10_000 and abs((low + high) / 2 - np.mean(diffs)) < 0.2 * error and abs((high - low) / (2 * 1.96 * error) - 1) < 0.1
+
+
+def test_evaluation_counts_grow_with_the_input(spark, small):
+    larger = small.replace("0.001", "0.01")
+    signs, summary = (catalog.queries()[name](spark, larger) for name in ("evl06_sign_test_all_documents", "evl02_summarize_every_20th"))
+    assert sum(r.n for r in signs.collect()) == table(spark, larger, "documents").count()
+    assert [r.questions for r in summary.collect() if r.split == -1] == [table(spark, larger, "embeddings").where("vec_id % 20 = 0").count()]
