@@ -2,7 +2,9 @@
 
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pytest
 
 from quillspark import catalog
 from quillspark.plans import documents
@@ -43,3 +45,13 @@ def test_evaluation_counts_grow_with_the_input(spark, small):
     signs, summary = (catalog.queries()[name](spark, larger) for name in ("evl06_sign_test_all_documents", "evl02_summarize_every_20th"))
     assert sum(r.n for r in signs.collect()) == table(spark, larger, "documents").count()
     assert [r.questions for r in summary.collect() if r.split == -1] == [table(spark, larger, "embeddings").where("vec_id % 20 = 0").count()]
+
+
+def test_scores_of_all_documents_against_sql(spark, small):
+    larger = small.replace("0.001", "0.01")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{larger}/documents.parquet'")
+    query = catalog.queries()["lex08_scoring_all_documents"](spark, larger)
+    got = [tuple(r) for r in query.orderBy("rank").collect()]
+    want = con.execute(catalog.oracle_sql()["lex08_scoring_all_documents"]).fetchall()
+    assert got == [(doc, line, pytest.approx(score, abs=2e-6), rank) for doc, line, score, rank in want] and max(r[0] for r in got) >= 400
