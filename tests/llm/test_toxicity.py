@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from quillspark.llm.toxicity import toxicity, train
+from quillspark.llm.toxicity import guess_language, toxicity, train
 
 CLEAN, TOXIC = [f"word{i}" for i in range(300)] + ["the", "of", "and"] * 20, ["scum", "moron", "trash", "worthless"]
 
@@ -53,3 +53,8 @@ def test_training_is_deterministic():
     rows = table(120)
     models = [train([t for _, t, _ in rows], np.array([y for _, _, y in rows])) for _ in range(2)]
     assert models[0].score("some scum here") == models[1].score("some scum here")
+
+
+def test_language_is_guessed_from_all_words():
+    for n in (1000, 3999, 4000, 20_000):
+        assert guess_language((["x", "the"] * n)[:n]) == "en"
