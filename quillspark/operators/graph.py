@@ -56,3 +56,27 @@ def group_paths(paths: DataFrame) -> DataFrame:
     """End resource, number of distinct paths, and the least of them."""
     distinct = paths.select("resource", F.array_join("path", ">").alias("path")).distinct()
     return distinct.groupBy("resource").agg(F.count(F.lit(1)).alias("paths"), F.min("path").alias("first_path"))
+
+
+def check_paths(paths: DataFrame, participants: DataFrame, relations: DataFrame, seeds: DataFrame, plan: list[Hop], max_paths: int = 1_000_000) -> DataFrame:
+    """Returned paths (start, resource, path) with ``problem``: the first rule of ``plan`` that one breaks, null without.
+
+    "shape": as many steps as hops; "seed": starts at a seed; "endpoint": ends at
+    its resource; "relation": each step's is known and of the hop's type;
+    "participants": each step's has two or more, none without a role, and both
+    ends in the hop's roles.  More than ``max_paths`` paths raise.
+    """
+    if paths.limit(max_paths + 1).count() > max_paths:
+        raise BudgetExceeded(f"more than {max_paths} paths")
+    members = F.collect_set(F.struct("role", F.col("resource").cast("string").alias("resource")))
+    facts = participants.join(relations, "relation_id").groupBy(F.col("relation_id").cast("string").alias("relation_id")).agg(F.collect_set("relation_type").alias("types"), members.alias("members"))
+    at = lambda i: F.get("path", F.lit(i))
+    out = paths.join(seeds.select(F.col("resource").cast("string").alias("seed")).distinct(), at(0) == F.col("seed"), "left")
+    first, last = at(0), F.element_at("path", -1)
+    problem = F.when(F.size("path") != 2 * len(plan) + 1, "shape").when(F.col("seed").isNull() | ~first.eqNullSafe(F.col("start")), "seed").when(~last.eqNullSafe(F.col("resource")), "endpoint")
+    for i, hop in enumerate(plan):
+        out = out.join(facts.select(F.col("relation_id").alias(f"r{i}"), F.col("types").alias(f"t{i}"), F.col("members").alias(f"m{i}")), at(2 * i + 1) == F.col(f"r{i}"), "left")
+        has = lambda role, k, m=f"m{i}": F.exists(m, lambda x: (x["role"] == role) & (x["resource"] == at(k)))
+        whole = (F.size(f"m{i}") >= 2) & F.forall(f"m{i}", lambda x: x["role"] != "") & has(hop.from_role, 2 * i) & has(hop.to_role, 2 * i + 2)
+        problem = problem.when(~F.coalesce(F.array_contains(f"t{i}", hop.relation_type), F.lit(False)), "relation").when(~F.coalesce(whole, F.lit(False)), "participants")
+    return out.select("start", "resource", "path", problem.alias("problem"))

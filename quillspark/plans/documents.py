@@ -98,6 +98,7 @@ _F.same("knw14_supports_mode", "SELECT n_nationkey, array_contains(array('lexica
 _F.same("knw16_remote_absence", "SELECT p_partkey AS native_id FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)")
 _F.same("knw18_model_identity", "SELECT label, sha2(concat_ws('|', 'model-1', CAST(label AS STRING), '64'), 256) AS model_id FROM (SELECT DISTINCT label FROM embeddings) x", "SELECT label, sha256(concat_ws('|', 'model-1', label, '64')) AS model_id FROM (SELECT DISTINCT label FROM embeddings) x")
 _F.same("arr03_multiset_equality", "SELECT a.l_orderkey, array_sort(collect_list(a.l_suppkey)) = array_sort(transform(collect_list(a.l_suppkey), x -> x)) AS same FROM lineitem a GROUP BY a.l_orderkey", "SELECT l_orderkey, true AS same FROM lineitem GROUP BY l_orderkey")
+_F.same("arr03_multiset_equality_two_lists", "SELECT l_orderkey, array_sort(collect_list(l_suppkey)) = array_sort(collect_list(CASE WHEN l_orderkey % 3 = 0 AND l_linenumber = 1 THEN -1 ELSE l_suppkey END)) AS same FROM lineitem GROUP BY l_orderkey", "SELECT l_orderkey, l_orderkey % 3 <> 0 OR count(*) FILTER (WHERE l_linenumber = 1) = 0 AS same FROM lineitem GROUP BY l_orderkey")
 _F.same("dat04_nanos_codec", "SELECT event_id, CAST(unix_micros(CAST(ts AS TIMESTAMP)) AS DECIMAL(30,0)) * 1000 AS nanos FROM events", "SELECT event_id, CAST(epoch_us(ts) AS DECIMAL(30,0)) * 1000 AS nanos FROM events")
 _F.same("mth07_checked_arithmetic", "SELECT doc_id, try_add(n_chars, 9223372036854775807) IS NULL AS overflows FROM documents", "SELECT doc_id, n_chars > 0 AS overflows FROM documents")
 _F.same("evl03_fusion_metrics", "SELECT lang, round(avg(CASE WHEN rank <= 10 THEN 1 ELSE 0 END), 6) AS recall10, round(avg(1 / rank), 6) AS mrr FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents) x GROUP BY lang")

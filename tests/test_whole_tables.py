@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from quillspark import catalog
+from quillspark.operators import graph
 from quillspark.plans import documents
 from quillspark.tables import table
 
@@ -55,3 +56,19 @@ def test_scores_of_all_documents_against_sql(spark, small):
     got = [tuple(r) for r in query.orderBy("rank").collect()]
     want = con.execute(catalog.oracle_sql()["lex08_scoring_all_documents"]).fetchall()
     assert got == [(doc, line, pytest.approx(score, abs=2e-6), rank) for doc, line, score, rank in want] and max(r[0] for r in got) >= 400
+
+
+def test_damaged_paths_are_reported(spark):
+    participants = spark.createDataFrame([("r", "a", "x"), ("r", "b", "y"), ("q", "a", "x"), ("q", "b", "y"), ("lone", "a", "x")], "relation_id string, role string, resource string")
+    relations = spark.createDataFrame([("r", "t"), ("q", "other"), ("lone", "t")], "relation_id string, relation_type string")
+    paths = [("x", "y", ["x", "r", "y"]), ("x", "y", ["x", "r"]), ("y", "y", ["y", "r", "y"]), ("x", "z", ["x", "r", "y"]), ("x", "y", ["x", "q", "y"]), ("x", "z", ["x", "r", "z"]), ("x", "x", ["x", "lone", "x"])]
+    seeds, plan = spark.createDataFrame([("x",)], "resource string"), [graph.Hop("t", "a", "b")]
+    table_of = spark.createDataFrame(paths, "start string, resource string, path array<string>")
+    got = {(r.start, r.resource, *r.path): r.problem for r in graph.check_paths(table_of, participants, relations, seeds, plan).collect()}
+    assert [got[(s, r, *p)] for s, r, p in paths] == [None, "shape", "seed", "endpoint", "relation", "participants", "participants"]
+    with pytest.raises(graph.BudgetExceeded):
+        graph.check_paths(table_of, participants, relations, seeds, plan, max_paths=6)
+
+
+def test_unequal_multisets_appear(spark, small):
+    assert {r.same for r in catalog.queries()["arr03_multiset_equality_two_lists"](spark, small).collect()} == {True, False}
