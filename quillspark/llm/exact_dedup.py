@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillspark.operators.skew import hot_cold_join
+from quillspark.operators.skew import column_of, hot_cold_join, numbered, renamed
 from quillspark.scratch import materialize
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -59,9 +59,10 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     empty table gives an empty result.  Other columns pass through, whatever
     their names; ``dd_`` columns of the input are replaced.
     """
-    docs = docs.drop("dd_digest", "dd_keep_id", "dd_group_size", "dd_kept")
-    norm = normalised(F.col(f"`{text_col}`"))
-    keys = docs.select(norm.alias("norm"), F.col(f"`{id_col}`").alias("id"), F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("n_chars"))
+    docs, names = numbered(docs, ("dd_digest", "dd_keep_id", "dd_group_size", "dd_kept"))
+    text, doc_id = column_of(names, text_col), column_of(names, id_col)
+    norm = normalised(text)
+    keys = docs.select(norm.alias("norm"), doc_id.alias("id"), F.length(F.coalesce(text, F.lit(""))).alias("n_chars"))
     # The second digest only tells texts of one group key apart when rows look their group up.
     keys = keys.select("norm", digest(F.col("norm")).alias("d"), F.sha2("norm", 512).alias("w"), _order(F.col("n_chars"), F.col("id")).alias("o"), F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"))
     salted = keys.groupBy("d", "w", "norm", "salt").agg(F.count(F.lit(1)).alias("n"), F.max("o").alias("o"))
@@ -69,15 +70,15 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     merged = salted.repartition(F.col("d")).groupBy("d", "w", "norm").agg(F.sum("n").alias("n"), F.max("o").alias("o"))
     groups = merged.groupBy("d", "w").agg(F.sum("n").alias("n"), F.max("o").alias("o"), F.count(F.lit(1)).alias("texts"))
     # Groups of one row need no lookup: they keep themselves.
-    groups = groups.where((F.col("n") > 1) | (F.col("texts") > 1)).select(F.col("d").alias("dd_d"), F.col("w").alias("dd_w"), F.when(F.col("texts") == 1, _id_of(F.col("o"))).otherwise(F.raise_error(F.lit("two texts share SHA-256 and SHA-512"))).alias("dd_keep"), F.col("n").alias("dd_n"))
+    groups = groups.where((F.col("n") > 1) | (F.col("texts") > 1)).select("d", "w", F.when(F.col("texts") == 1, _id_of(F.col("o"))).otherwise(F.raise_error(F.lit("two texts share SHA-256 and SHA-512"))).alias("keep"), "n")
     groups = materialize(groups, "exact-dedup")
-    rows = docs.withColumn("dd_norm", norm).withColumns({"dd_d": digest(F.col("dd_norm")), "dd_w": F.sha2("dd_norm", 512), "dd_id": F.col(f"`{id_col}`")}).drop("dd_norm")
-    found = hot_cold_join(rows, groups, ["dd_d", "dd_w"], "dd_n", F.col("dd_id"))
-    alone = F.col("dd_n").isNull()
-    found = found.withColumns({
-        "dd_digest": F.col("dd_d"),
-        "dd_keep_id": F.when(alone, F.col("dd_id")).otherwise(F.col("dd_keep")),
-        "dd_group_size": F.coalesce(F.col("dd_n"), F.lit(1).cast("long")),
-        "dd_kept": alone | F.col("dd_id").eqNullSafe(F.col("dd_keep")),
-    })
-    return found.drop("dd_d", "dd_w", "dd_id", "dd_keep", "dd_n")
+    rows = docs.withColumn("norm", norm).withColumns({"d": digest(F.col("norm")), "w": F.sha2("norm", 512)}).drop("norm")
+    found = hot_cold_join(rows, groups, ["d", "w"], "n", doc_id)
+    alone = F.col("n").isNull()
+    return found.select(
+        *renamed(names),
+        F.col("d").alias("dd_digest"),
+        F.when(alone, doc_id).otherwise(F.col("keep")).alias("dd_keep_id"),
+        F.coalesce("n", F.lit(1).cast("long")).alias("dd_group_size"),
+        (alone | doc_id.eqNullSafe(F.col("keep"))).alias("dd_kept"),
+    )

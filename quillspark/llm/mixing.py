@@ -3,10 +3,11 @@
 A source's weight is its share of tokens to the power of an exponent, and the
 exponent is bisected: the flattest mix that keeps within a repetition limit or
 reaches a target entropy.  The weights times a budget are realised in passes.
-A whole pass is a permutation of the source's blocks, another one each time;
-the last pass stops where the source's budget ends, between blocks first and
-then inside one block.  What decides about a document is one row a source, so
-no source, however large, is ordered as a whole.
+A document belongs to one block of its source for good.  A whole pass takes all
+blocks of the source in a permutation of their numbers, another one each pass;
+the last pass stops where the source's budget ends, between groups of blocks
+first, then between blocks and then inside one block.  What decides about a
+document is one row a source, so no source, however large, is ordered as a whole.
 """
 
 from __future__ import annotations
@@ -15,10 +16,14 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillspark.operators.skew import hot_cold_join
+from quillspark.operators.skew import column_of, hot_cold_join, numbered, renamed
 from quillspark.scratch import materialize
 
 MAX_REPEATS, BLOCK_ROWS, STEPS, SEED = 2.0, 1000, 1024, "mix"
+#: Blocks of a permutation that are summed up before they are ordered.
+GROUP_BLOCKS = 1000
+#: Primes over any number of blocks: a multiple of one deals block numbers out anew without two meeting.
+PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
 #: A table of no more sources than this is broadcast; more are looked up by a skew-safe join.
 FEW_SOURCES = 10_000
 
@@ -28,15 +33,25 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def pass_key(seed: str, number: Column, doc_id: Column) -> Column:
-    """Where a document stands in the permutation of one pass."""
-    return F.md5(F.concat(F.lit(seed + "|"), number.cast("string"), F.lit("|"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def document_key(seed: str, doc_id: Column) -> Column:
+    """Where a document stands in its source: its block and its place in that."""
+    return F.md5(F.concat(F.lit(seed + "|"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
-def block_of(key: Column, n_blocks: Column) -> Column:
+def _number(key: Column, n_blocks: Column) -> Column:
     return F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), n_blocks)
 
 
+def permuted(seed: str, number: Column, source: Column, block: Column, n_blocks: Column) -> Column:
+    """Place of ``block`` among the ``n_blocks`` of its source in pass ``number``: a bijection of block numbers."""
+    def factor(which: Column) -> Column:
+        return F.pmod(F.element_at(F.array(*(F.lit(p).cast("long") for p in PRIMES)), (F.pmod(which, F.lit(len(PRIMES))) + 1).cast("int")), n_blocks)
+
+    by = F.pmod(factor(number) * factor(F.floor(number / len(PRIMES))), n_blocks)
+    start = _number(F.md5(F.concat(F.lit(seed + "|"), number.cast("string"), F.lit("|"), source)), n_blocks)
+    return F.pmod(block * by + start, n_blocks)
+
+
 def _outcome(sources: DataFrame, exponent: float, budget: float | None):
     """(repeats of the most repeated source, entropy, sum of powers, budget) at ``exponent``."""
     power = F.pow("share", F.lit(exponent))
@@ -76,9 +91,10 @@ def temperature_mix(docs: DataFrame, source_col: str = "source", budget: float |
     """
     if (max_repeats is None) == (entropy is None):
         raise ValueError("give max_repeats or entropy")
-    docs = docs.drop("mx_pass", "mx_block", "mx_position")
-    source = F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit("null"))
-    rows = materialize(docs.select(source.alias("mx_source"), "doc_id", n_words(F.col("text")).alias("tokens")), "mix-rows")
+    docs, names = numbered(docs, ("mx_pass", "mx_block", "mx_position"))
+    doc_id, text = column_of(names, "doc_id"), column_of(names, "text")
+    source = F.coalesce(F.concat(F.lit("="), column_of(names, source_col).cast("string")), F.lit("null"))
+    rows = materialize(docs.select(source.alias("mx_source"), document_key(seed, doc_id).alias("key"), n_words(text).alias("tokens")), "mix-rows")
     sources = rows.groupBy("mx_source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("mx_rows"))
     sources = materialize(sources, "mix-sources")
     total = sources.agg(F.sum("tokens")).first()[0] or 0
@@ -94,28 +110,30 @@ def temperature_mix(docs: DataFrame, source_col: str = "source", budget: float |
     plan = plan.withColumn("rest", F.when(F.col("tokens") > 0, F.greatest(F.lit(0).cast("long"), F.floor(F.col("quota") - F.col("mx_passes") * F.col("tokens") + 1e-6))).otherwise(F.lit(0).cast("long")))
     plan = plan.select("mx_source", "tokens", "mx_rows", "mx_passes", "rest", F.ceil(F.col("mx_rows") / block_rows).cast("long").alias("mx_blocks"))
     plan = materialize(plan, "mix-plan")
-    # The last, partial pass: whole blocks in order, then documents of the block where the budget ends.
-    last = _with_plan(rows, plan).withColumn("key", pass_key(seed, F.col("mx_passes"), F.col("doc_id")))
-    last = last.withColumn("block", block_of(F.col("key"), F.col("mx_blocks"))).select("mx_source", "key", "block", "tokens", "rest")
-    blocks = last.where("rest > 0").groupBy("mx_source", "block").agg(F.sum("tokens").alias("b"), F.max("rest").alias("rest"))
-    blocks = blocks.withColumn("after", F.sum("b").over(Window.partitionBy("mx_source").orderBy("block")))
-    cut = blocks.where("after > rest").groupBy("mx_source").agg(F.min("block").alias("mx_cut"), F.min(F.col("after") - F.col("b")).alias("whole"))
+    # The last, partial pass: whole groups of blocks in order, then whole blocks, then documents of the block where the budget ends.
+    last = _with_plan(rows, plan).where("rest > 0").withColumn("place", permuted(seed, F.col("mx_passes"), F.col("mx_source"), _number(F.col("key"), F.col("mx_blocks")), F.col("mx_blocks")))
+    blocks = materialize(last.groupBy("mx_source", "place").agg(F.sum("tokens").alias("b"), F.max("rest").alias("rest")).withColumn("group", F.floor(F.col("place") / GROUP_BLOCKS)), "mix-blocks")
+    groups = blocks.groupBy("mx_source", "group").agg(F.sum("b").alias("g"), F.max("rest").alias("rest"))
+    groups = groups.withColumn("after", F.sum("g").over(Window.partitionBy("mx_source").orderBy("group")))
+    groups = groups.where("after > rest").groupBy("mx_source").agg(F.min("group").alias("group"), F.min(F.col("after") - F.col("g")).alias("before"))
+    # No more than ``GROUP_BLOCKS`` blocks a source.
+    ordered = blocks.join(groups, ["mx_source", "group"]).withColumn("after", F.col("before") + F.sum("b").over(Window.partitionBy("mx_source").orderBy("place")))
+    cut = ordered.where("after > rest").groupBy("mx_source").agg(F.min("place").alias("mx_cut"), F.min(F.col("after") - F.col("b")).alias("whole"))
     cut = materialize(plan.join(cut, "mx_source", "left"), "mix-cuts")
-    inside = _with_plan(rows, cut.drop("tokens")).withColumn("key", pass_key(seed, F.col("mx_passes"), F.col("doc_id")))
-    inside = inside.where(block_of(F.col("key"), F.col("mx_blocks")) == F.col("mx_cut"))
-    # About ``block_rows`` documents a source; documents at one place come together.
-    inside = inside.withColumn("after", F.sum("tokens").over(Window.partitionBy("mx_source").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)))
+    inside = _with_plan(rows, cut.drop("tokens")).where(permuted(seed, F.col("mx_passes"), F.col("mx_source"), _number(F.col("key"), F.col("mx_blocks")), F.col("mx_blocks")) == F.col("mx_cut"))
+    # About ``block_rows`` keys a source; documents at one place come together.
+    inside = inside.groupBy("mx_source", "key").agg(F.sum("tokens").alias("tokens"), F.max("whole").alias("whole"), F.max("rest").alias("rest"))
+    inside = inside.withColumn("after", F.sum("tokens").over(Window.partitionBy("mx_source").orderBy("key")))
     ends = inside.where(F.col("whole") + F.col("after") <= F.col("rest")).groupBy("mx_source").agg(F.max("key").alias("mx_until"))
     decided = materialize(cut.join(ends, "mx_source", "left").select("mx_source", "mx_rows", "mx_passes", "mx_blocks", "mx_cut", "mx_until", (F.col("mx_passes") + F.when(F.col("tokens") > 0, F.col("rest") / F.col("tokens")).otherwise(F.lit(0.0))).alias("mx_repeats")), "mix-decided")
-    out = _with_plan(docs.withColumn("mx_source", source), decided)
-    key = pass_key(seed, F.col("mx_passes"), F.col("doc_id"))
-    block = block_of(key, F.col("mx_blocks"))
-    more = (block < F.col("mx_cut")) | ((block == F.col("mx_cut")) & (key <= F.col("mx_until")))
+    out = _with_plan(docs.withColumns({"mx_source": source, "mx_key": document_key(seed, doc_id)}), decided).withColumn("mx_own", _number(F.col("mx_key"), F.col("mx_blocks")))
+    at = permuted(seed, F.col("mx_passes"), F.col("mx_source"), F.col("mx_own"), F.col("mx_blocks"))
+    more = (at < F.col("mx_cut")) | ((at == F.col("mx_cut")) & (F.col("mx_key") <= F.col("mx_until")))
     times = F.col("mx_passes") + F.when(F.coalesce(more, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
     out = out.withColumn("mx_times", times).where("mx_times > 0").withColumn("mx_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mx_times") - 1)))
-    out = out.withColumn("mx_block", block_of(pass_key(seed, F.col("mx_pass"), F.col("doc_id")), F.col("mx_blocks")))
+    out = out.withColumn("mx_block", permuted(seed, F.col("mx_pass"), F.col("mx_source"), F.col("mx_own"), F.col("mx_blocks")))
     out = out.withColumn("mx_position", (F.col("mx_pass") + (F.col("mx_block") + 0.5) / F.col("mx_blocks")) / F.ceil(F.col("mx_repeats")))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), "mx_pass", "mx_block", "mx_position")
+    return out.select(*renamed(names), "mx_pass", "mx_block", "mx_position")
 
 
 def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -124,4 +142,4 @@ def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
     plan = plan.select("mx_source", *values)
     if plan.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
         return rows.join(F.broadcast(plan), "mx_source")
-    return hot_cold_join(rows, plan, ["mx_source"], "mx_rows", F.col("doc_id"))
+    return hot_cold_join(rows, plan, ["mx_source"], "mx_rows", F.monotonically_increasing_id())

@@ -78,9 +78,10 @@ q AS (
 pl AS (SELECT *, CASE WHEN t > 0 THEN floor(quota / t + 1e-9)::BIGINT ELSE 1 END AS passes FROM q),
 plan AS (SELECT *, CASE WHEN t > 0 THEN greatest(0, floor(quota - passes * t + 1e-6)::BIGINT) ELSE 0 END AS rest FROM pl),
 k AS (
-  SELECT r.*, p.t, p.nb, p.passes, p.rest, md5('mix|' || passes || '|' || coalesce(doc_id::VARCHAR, '')) AS key
+  SELECT r.*, p.t, p.nb, p.passes, p.rest, md5('mix|' || coalesce(doc_id::VARCHAR, '')) AS key
   FROM r JOIN plan p USING (s)),
-kb AS (SELECT *, ('0x' || substr(key, 1, 8))::BIGINT % nb AS block FROM k),
+ko AS (SELECT *, ('0x' || substr(key, 1, 8))::BIGINT % nb AS own FROM k),
+kb AS (SELECT *, (own * (([2147483647, 2147483629, 2147483587, 2147483579][passes % 4 + 1] % nb) * ([2147483647, 2147483629, 2147483587, 2147483579][passes // 4 % 4 + 1] % nb) % nb) + ('0x' || substr(md5('mix|' || passes || '|' || s), 1, 8))::BIGINT % nb) % nb AS block FROM ko),
 b AS (SELECT s, block, sum(tokens) AS b, max(rest) AS rest FROM kb WHERE rest > 0 GROUP BY ALL),
 ba AS (SELECT *, sum(b) OVER (PARTITION BY s ORDER BY block) AS after FROM b),
 cut AS (SELECT s, min(block) AS cut, min(after - b) AS whole FROM ba WHERE after > rest GROUP BY s),
@@ -89,9 +90,9 @@ ins AS (
   FROM kb JOIN cut ON kb.s = cut.s AND kb.block = cut.cut),
 ends AS (SELECT s, max(key) AS until FROM ins WHERE whole + after <= rest GROUP BY s),
 o AS (
-  SELECT kb.doc_id, kb.source, kb.nb, unnest(range(0, passes + CASE WHEN block < cut OR (block = cut AND key <= until) THEN 1 ELSE 0 END)) AS pass,
+  SELECT kb.doc_id, kb.source, kb.s, kb.nb, kb.own, unnest(range(0, passes + CASE WHEN block < cut OR (block = cut AND key <= until) THEN 1 ELSE 0 END)) AS pass,
          ceil(passes + CASE WHEN t > 0 THEN rest::DOUBLE / t ELSE 0 END) AS top
   FROM kb LEFT JOIN cut USING (s) LEFT JOIN ends USING (s)),
-ob AS (SELECT *, ('0x' || substr(md5('mix|' || pass || '|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % nb AS block FROM o)
+ob AS (SELECT *, (own * (([2147483647, 2147483629, 2147483587, 2147483579][pass % 4 + 1] % nb) * ([2147483647, 2147483629, 2147483587, 2147483579][pass // 4 % 4 + 1] % nb) % nb) + ('0x' || substr(md5('mix|' || pass || '|' || s), 1, 8))::BIGINT % nb) % nb AS block FROM o)
 SELECT doc_id, source, pass AS mix_pass, block AS mix_block, round((pass + (block + 0.5) / nb) / top, 6) AS position FROM ob
 """

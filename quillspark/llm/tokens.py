@@ -63,7 +63,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Texts that spell an added token go through the library whole, which gives that token's id.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces, self.split, self.lower = _Pieces(self.tokenizer), _SPLIT[kind].findall, kind == "word"
 
     def encode(self, text: str) -> bytes:
@@ -82,7 +83,7 @@ class Encoder:
         yield from self._encode(held)
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        rare = [_RARE.search(t) is not None for t in texts]
+        rare = [_RARE.search(t) is not None or any(a in t for a in self.added) for t in texts]
         pieces = [() if r else self.split(t.lower() if self.lower else t) for t, r in zip(texts, rare)]
         self._learn(set(chain.from_iterable(pieces)))
         for text, whole, parts in zip(texts, rare, pieces):

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillspark.operators.skew import hot_cold_join
+from quillspark.operators.skew import column_of, hot_cold_join, numbered, renamed
 from quillspark.scratch import materialize
 
 #: Rules as (verdict, host, path).
@@ -93,11 +93,13 @@ def host_reputation(pages: DataFrame, host: str, bad: str, weight: str, z: float
     # One row per suffix, then per domain: each takes its prior from the level above.
     p_suffix = suffixes.select("suffix", ((F.col("bad") + F.lit(m_all * prior)) / (F.col("n") + F.lit(m_all))).alias("ps"))
     p_suffix = p_suffix.join(_strength(domains, ["suffix"], low, high), "suffix", "left").select("suffix", "ps", F.coalesce("m", F.lit(high)).alias("ms"))
-    p_domain = domains.join(p_suffix, "suffix").select("domain", ((F.col("bad") + F.col("ms") * F.col("ps")) / (F.col("n") + F.col("ms"))).alias("pd"))
+    p_suffix = materialize(p_suffix.join(domains.groupBy("suffix").agg(F.count(F.lit(1)).alias("w")), "suffix"), "suffix-priors")
+    p_domain = hot_cold_join(domains, p_suffix, ["suffix"], "w", F.col("domain")).select("domain", ((F.col("bad") + F.col("ms") * F.col("ps")) / (F.col("n") + F.col("ms"))).alias("pd"))
     p_domain = p_domain.join(_strength(hosts, ["domain"], low, high), "domain", "left").select("domain", "pd", F.coalesce("m", F.lit(high)).alias("md"))
     a, b = F.col("bad") + F.col("md") * F.col("pd"), F.col("n") - F.col("bad") + F.col("md") * (1 - F.col("pd"))
     deviation = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return hosts.join(p_domain, "domain").select("host", "pages", "n", "bad", (a / (a + b)).alias("rate"), (a / (a + b) - z * deviation).alias("low"))
+    p_domain = materialize(p_domain.join(hosts.groupBy("domain").agg(F.count(F.lit(1)).alias("w")), "domain"), "domain-priors")
+    return hot_cold_join(hosts, p_domain, ["domain"], "w", F.col("host")).select("host", "pages", "n", "bad", (a / (a + b)).alias("rate"), (a / (a + b) - z * deviation).alias("low"))
 
 
 def url_filter(pages: DataFrame, labels: DataFrame, url_col: str = "url", rules=RULES, z: float = Z, bad_rate: float = BAD_RATE, strength=STRENGTH) -> DataFrame:
@@ -113,18 +115,20 @@ def url_filter(pages: DataFrame, labels: DataFrame, url_col: str = "url", rules=
     pages each count.  Empty tables give an empty result; with no labels at all
     the prior decides.  Other columns pass through; ``uf_`` columns of the input are replaced.
     """
-    pages = pages.drop("uf_host", "uf_path", "uf_rule", "uf_verdict", "uf_rate", "uf_low")
-    url = F.col(f"`{url_col}`")
+    pages, names = numbered(pages, ("uf_host", "uf_path", "uf_rule", "uf_verdict", "uf_rate", "uf_low"))
+    url = column_of(names, url_col)
     rows = pages.withColumns({"uf_host": host_of(F.coalesce(url, F.lit(""))), "uf_path": path_of(F.coalesce(url, F.lit("")))})
     outcome = labels.where(F.col("doc_id").isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull())).groupBy(F.col("doc_id").alias("uf_doc")).agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("uf_bad"))
     shown = rows.select("uf_host", F.expr("try_cast(regexp_extract(uf_path, '/([0-9]{1,18})[^/]*/?$', 1) as bigint)").alias("uf_doc"))
     # Counting pages per (host, document) first leaves the join as many rows as there are documents at most.
     shown = shown.groupBy("uf_host", "uf_doc").agg(F.count(F.lit(1)).alias("c"))
-    joined = shown.join(outcome, "uf_doc", "left").select("uf_host", "uf_bad", "c")
+    # Pages that show no document have no outcome; they take no part in the join, where they would be one key.
+    known = shown.where(F.col("uf_doc").isNotNull()).join(outcome, "uf_doc", "left").select("uf_host", "uf_bad", "c")
+    joined = known.union(shown.where(F.col("uf_doc").isNull()).select("uf_host", F.lit(None).cast("int").alias("uf_bad"), "c"))
     hosts = host_reputation(joined, "uf_host", "uf_bad", "c", z, strength)
     hosts = materialize(hosts.select(F.col("host").alias("uf_host"), F.col("pages").alias("uf_pages"), F.col("rate").alias("uf_rate"), F.col("low").alias("uf_low")), "host-reputation")
     found = hot_cold_join(rows, hosts, ["uf_host"], "uf_pages", url)
     rule = rule_column(F.col("uf_host"), F.col("uf_path"), rules)
     own = F.when(F.col("uf_low") > bad_rate, "block").otherwise("allow")
     found = found.withColumn("uf_r", rule).withColumns({"uf_rule": F.col("uf_r.rule"), "uf_verdict": F.coalesce(F.col("uf_r.verdict"), own)})
-    return found.select(*(F.col(f"`{c}`") for c in pages.columns), "uf_host", "uf_path", "uf_rule", "uf_verdict", "uf_rate", "uf_low")
+    return found.select(*renamed(names), "uf_host", "uf_path", "uf_rule", "uf_verdict", "uf_rate", "uf_low")

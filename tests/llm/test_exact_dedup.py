@@ -41,3 +41,11 @@ def test_content_decides_where_digests_collide(make_docs, corpus):
 def test_empty_table_and_other_columns(make_docs):
     out = exact_dedup(make_docs([]))
     assert out.count() == 0 and {"lang", "source", "dd_kept"} <= set(out.columns)
+
+
+def test_names_that_clash(spark, corpus):
+    names = ["doc_id", "text", "dd_n", "dd_keep", "dd_id", "__hot", "a.b", "n", "d", "c0", "Dd_W", "x`y"]
+    docs = spark.createDataFrame([(i, t, *range(10)) for i, t in corpus], ", ".join(f"c{k} {'long' if k != 1 else 'string'}" for k in range(12))).toDF(*names)
+    out = exact_dedup(docs)
+    assert out.columns == [*names, "dd_digest", "dd_keep_id", "dd_group_size", "dd_kept"]
+    assert result(out) == brute(corpus) and {tuple(r[2:12]) for r in out.collect()} == {tuple(range(10))}

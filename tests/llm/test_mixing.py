@@ -42,13 +42,34 @@ def test_entropy(docs):
     assert -sum(p * math.log(p) for p in share) > -sum(n / sum(before.values()) * math.log(n / sum(before.values())) for n in before.values() if n)
 
 
-def test_passes_permute(docs):
+def test_passes_permute_fixed_blocks(docs):
     out = temperature_mix(docs, max_repeats=3.0, block_rows=2).where("source = 'small' and mx_pass < 2 and doc_id is not null").collect()
     blocks = defaultdict(dict)
     for r in out:
         blocks[r.mx_pass][r.doc_id] = r.mx_block
-    common = blocks[0].keys() & blocks[1].keys()
-    assert len(blocks[0]) == 30 and any(blocks[0][k] != blocks[1][k] for k in common)
+    moved = {(blocks[0][k], blocks[1][k]) for k in blocks[0].keys() & blocks[1].keys()}
+    assert len(blocks[0]) == 30
+    # Documents of one block move together, and no two blocks meet.
+    assert len(moved) == len({a for a, _ in moved}) == len({b for _, b in moved}) and any(a != b for a, b in moved)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 12, 1000])
+def test_permutations_are_bijections(spark, n):
+    from pyspark.sql import functions as F
+
+    from quillspark.llm.mixing import permuted
+
+    rows = spark.range(n).crossJoin(spark.range(6).withColumnRenamed("id", "p")).select("p", permuted("x", F.col("p"), F.lit("s"), F.col("id"), F.lit(n).cast("long")).alias("at")).collect()
+    for p in range(6):
+        assert sorted(r["at"] for r in rows if r.p == p) == list(range(n))
+
+
+def test_names_that_clash(spark, docs):
+    names = ["doc_id", "text", "source", "mx_rows", "mx_source", "a.b", "key", "l0", "c1"]
+    odd = docs.select("doc_id", "text", "source", *(docs.mx_pass.alias("x") for _ in names[3:])).toDF(*names)
+    out = temperature_mix(odd)
+    assert out.columns == [*names, "mx_pass", "mx_block", "mx_position"]
+    assert {tuple(r[3:9]) for r in out.collect()} == {("x",) * 6}
 
 
 def test_empty_and_arguments(docs):

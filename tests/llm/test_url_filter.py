@@ -37,3 +37,13 @@ def test_empty_tables(spark, pages):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert url_filter(pages.limit(0), none).count() == 0
     assert {r.uf_verdict for r in url_filter(pages, none).where("uf_rule is null").collect()} == {"allow"}
+
+
+def test_names_that_clash(spark, pages):
+    names = ["page_id", "url", "uf_pages", "uf_r", "a.b", "host", "l1"]
+    odd = pages.selectExpr("page_id", "url", *["'x'"] * 5).toDF(*names)
+    labels = spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int")
+    out = url_filter(odd, labels)
+    assert out.columns == [*names, "uf_host", "uf_path", "uf_rule", "uf_verdict", "uf_rate", "uf_low"]
+    assert {tuple(r[2:7]) for r in out.collect()} == {("x",) * 5}
+    assert {tuple(r[-6:]) for r in out.collect()} == {tuple(r[-6:]) for r in url_filter(pages, labels).collect()}
