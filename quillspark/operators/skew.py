@@ -1,4 +1,4 @@
-"""Joins that stay even when one key holds a large part of the rows."""
+"""Joins that stay even when one key holds a large part of the rows, and columns of any name."""
 
 from __future__ import annotations
 
@@ -10,6 +10,30 @@ HOT_KEYS = 1000
 SALTS = 4096
 
 
+def numbered(df: DataFrame, replaced: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns c0, c1, … and the names they stand for, without those in ``replaced``.
+
+    Operators work on numbered columns, so no name of their own can clash with one of the input's, whatever
+    characters it holds.  Names are compared as Spark does, in either case.
+    """
+    drop = {name.lower() for name in replaced}
+    names = {f"c{i}": name for i, name in enumerate(df.columns) if name.lower() not in drop}
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).select(*names), names
+
+
+def column_of(names: dict[str, str], name: str) -> Column:
+    """The numbered column that stands for ``name``; an exact match comes before one in another case."""
+    found = [c for c, n in names.items() if n == name] or [c for c, n in names.items() if n.lower() == name.lower()]
+    if not found:
+        raise ValueError(f"no column {name!r} among {list(names.values())}")
+    return F.col(found[0])
+
+
+def renamed(names: dict[str, str]) -> list[Column]:
+    """Numbered columns under their own names again."""
+    return [F.col(c).alias(name) for c, name in names.items()]
+
+
 def hot_cold_join(left: DataFrame, dim: DataFrame, keys: list[str], weight: str, spread: Column, hot_keys: int = HOT_KEYS) -> DataFrame:
     """Left join of ``left`` with ``dim``, which has one row per key.
 
@@ -18,15 +42,19 @@ def hot_cold_join(left: DataFrame, dim: DataFrame, keys: list[str], weight: str,
     every size; any other key then has fewer than 1 / ``hot_keys`` of the rows,
     so the shuffle join that looks the rest up is even.  Rows found in the first
     step go through the second spread by ``spread`` under a key that matches
-    nothing.  ``dim`` should be a written table: it is read twice.
+    nothing.  ``dim`` should be a written table: it is read twice.  Columns may
+    have any names; a value of ``dim`` that has a name of ``left`` comes after it.
     """
     values = [c for c in dim.columns if c not in keys]
-    hot = dim.orderBy(F.col(weight).desc(), *keys).limit(hot_keys)
-    hot = hot.select(*(F.col(k).alias(f"__h_{k}") for k in keys), *(F.col(v).alias(f"__hv_{v}") for v in values), F.lit(True).alias("__hot"))
-    on = reduce(lambda a, b: a & b, (left[k].eqNullSafe(hot[f"__h_{k}"]) for k in keys))
-    step = left.join(F.broadcast(hot), on, "left")
-    step = step.withColumns({f"__k_{k}": F.when(F.col("__hot").isNull(), F.col(k)) for k in keys} | {"__salt": F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)) + 1).otherwise(F.lit(0).cast("long"))})
-    cold = dim.select(*(F.col(k).alias(f"__c_{k}") for k in keys), *(F.col(v).alias(f"__cv_{v}") for v in values), F.lit(0).cast("long").alias("__c_salt"))
-    on = reduce(lambda a, b: a & b, (F.col(f"__k_{k}") == F.col(f"__c_{k}") for k in keys)) & (F.col("__salt") == F.col("__c_salt"))
+    at = {c: f"l{i}" for i, c in enumerate(left.columns)}
+    rows = left.select("*", F.pmod(F.xxhash64(spread), F.lit(SALTS)).alias("spread")).toDF(*(f"l{i}" for i in range(len(left.columns))), "l_spread")
+    dim = dim.select(*keys, weight, *values).toDF(*(f"k{i}" for i in range(len(keys))), "weight", *(f"v{i}" for i in range(len(values))))
+    hot = dim.orderBy(F.col("weight").desc(), *(f"k{i}" for i in range(len(keys)))).limit(hot_keys)
+    hot = hot.select(*(F.col(f"k{i}").alias(f"h{i}") for i in range(len(keys))), *(F.col(f"v{i}").alias(f"hv{i}") for i in range(len(values))), F.lit(True).alias("hot"))
+    on = reduce(lambda a, b: a & b, (F.col(at[k]).eqNullSafe(F.col(f"h{i}")) for i, k in enumerate(keys)))
+    step = rows.join(F.broadcast(hot), on, "left")
+    step = step.withColumns({f"s{i}": F.when(F.col("hot").isNull(), F.col(at[k])) for i, k in enumerate(keys)} | {"salt": F.when(F.col("hot"), F.col("l_spread") + 1).otherwise(F.lit(0).cast("long"))})
+    cold = dim.drop("weight").withColumn("no_salt", F.lit(0).cast("long"))
+    on = reduce(lambda a, b: a & b, (F.col(f"s{i}") == F.col(f"k{i}") for i in range(len(keys)))) & (F.col("salt") == F.col("no_salt"))
     out = step.join(cold, on, "left")
-    return out.select(*(F.col(c) for c in left.columns), *(F.when(F.col("__hot"), F.col(f"__hv_{v}")).otherwise(F.col(f"__cv_{v}")).alias(v) for v in values))
+    return out.select(*(F.col(f"l{i}").alias(c) for i, c in enumerate(left.columns)), *(F.when(F.col("hot"), F.col(f"hv{i}")).otherwise(F.col(f"v{i}")).alias(v) for i, v in enumerate(values)))

@@ -1,4 +1,7 @@
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -13,6 +16,17 @@ def test_entry(spark):
     assert df.columns == ["doc_id", "line", "literal", "score", "rank"] and df.count() > 0
 
 
+@pytest.mark.parametrize("gone", [["quillspark/llm"], ["quillspark/llm", "corpus_pipeline.py"]])
+def test_works_without_the_training_data_operators(tmp_path, gone):
+    root = os.path.dirname(__spark_entry__.__file__)
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "tests", "__pycache__"))
+    for name in gone:
+        path = tmp_path / "copy" / name
+        shutil.rmtree(path) if path.is_dir() else path.unlink(missing_ok=True)
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and not any(n.startswith('op') or n == 'pipeline' for n in e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", check=True, timeout=120, env=os.environ | {"PYTHONPATH": os.environ.get("PYTHONPATH", "").replace(root, "")})
+
+
 def test_every_oracle_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert len(catalog.queries()) > 200
