@@ -1,4 +1,10 @@
-from quillspark.llm.html_wrapper import align, content_nodes, expression, infer_wrapper, main_text, page_slots
+import random
+import re
+from html.parser import HTMLParser
+
+import pytest
+
+from quillspark.llm.html_wrapper import MAX_NODES, align_children, coarsen, content_paths, expression, fold, host_wrappers, infer_wrapper, main_text, page_slots
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header>Site</header><nav><ul><li><a href=x>Home</a></li><li>News</li></ul></nav><!-- ad --><div class="ad">Buy &amp; go</div>
@@ -7,7 +13,53 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def slots(html):
-    return page_slots(html)
+    return page_slots(html)[0]
+
+
+def wrapper_of(*pages):
+    return infer_wrapper(expression(*page_slots(p)) for p in pages)
+
+
+class Article(HTMLParser):
+    """Brute force for the tables here: all text between the first <article> and its end."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.parts = False, []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.inside = True
+        elif tag not in ("b", "i", "a", "em", "strong", "span"):
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag == "article":
+            self.inside = False
+        self.handle_starttag("end of " + tag, ()) if tag not in ("b", "i", "a", "em", "strong", "span") else None
+
+    def handle_data(self, data):
+        if self.inside:
+            self.parts.append(data)
+
+
+def article_of(html):
+    parser = Article()
+    parser.feed(html or "")
+    parser.close()
+    return " ".join("".join(parser.parts).split())
+
+
+@pytest.mark.parametrize("least, change", [(0, lambda h: h), (0, lambda h: re.sub(r' class="[^"]*"', "", h)), (0, lambda h: re.sub(r"(</?)article\b", r"\1div", h)), (200, lambda h: re.sub(r"(</?)(article|nav|footer)\b", r"\1div", re.sub(r' class="[^"]*"', "", h)))])
+def test_brute_force_whatever_names_parts_have(spark, small, least, change):
+    """Without any names, an article of a few words cannot be told from a footer; so ``least`` characters."""
+    from quillspark.tables import table
+
+    pages = [(r.page_id, r.url, r.html) for r in table(spark, small, "pages").collect()]
+    changed = spark.createDataFrame([(i, u, change(h)) for i, u, h in pages], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_text(changed).collect()}
+    want = {i: article_of(h) for i, u, h in pages}
+    assert got.keys() == want.keys() and [i for i in want if len(want[i]) >= least and got[i] != want[i]] == []
 
 
 def test_main_text(spark):
@@ -47,17 +99,64 @@ def test_template_text_is_known_across_expressions(spark):
     assert got == {0: "story 0", 1: "x1 story 1", 2: "story 2", 3: "x3 story 3"}
 
 
-def test_alignment():
-    a, b = [["x", False], ["y", False], ["z", False]], [["x", False], ["z", True], ["w", False]]
-    wrapper, where = align([[p, r, False] for p, r in a], b)
-    assert wrapper == [["x", False, False], ["y", False, True], ["z", True, False], ["w", False, True]] and where == [0, 2, 3]
-    assert infer_wrapper([a, b]) == wrapper
-    assert content_nodes([["nav/p", False, False], ["main/p", True, False]], {}) == {1}
-
-
-def test_expression_folds_repeats():
-    nodes, where = expression(slots("<article><p>a<p>b<p>c<h2>d</h2><p>e"))
-    assert [r for _, r in nodes] == [True, False, False] and where == [0, 0, 0, 1, 2]
+def test_template_text_in_articles_goes(spark):
+    page = "<body><article><h1>{0}</h1><p>{0} text</p><p>more of {0}</p><div><p>Subscribe now</p></div></article>"
+    pages = [(i, f"http://host.org/{i}", page.format(f"story {i}")) for i in range(9)] + [(100, "http://lone.org", page.format("alone"))]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[3] == "story 3 story 3 text more of story 3" and got[100] == "alone alone text more of alone Subscribe now"
+
+
+def test_names_are_priors_only():
+    form = "<body><form><div><h1>Head {0}</h1><p>" + "words {0} " * 50 + "</p></div></form></body>"
+    w = wrapper_of(*(form.format(i) for i in range(6)))
+    s = slots(form.format(1))
+    assert content_paths([p for p, _, _ in s], w) == {p for p, _, _ in s}
+    s = slots("<article><h1 class='article-header'>Head</h1><div class=share-of-market>Share</div><div class='comment-list'>rude</div><p>Text</p></article>")
+    kept = content_paths([p for p, _, _ in s], wrapper_of("<article><h1 class='article-header'>Head</h1><div class=share-of-market>Share</div><div class='comment-list'>rude</div><p>Text</p></article>"))
+    assert [t for p, t, _ in s if p in kept] == ["Head", "Share", "Text"]
+
+
+def test_elements_that_end_early_or_never():
+    for html in ("<article><p>a</p><svg/><p>b</p></article>", "<article><p>a</p><svg><text>x</text></svg><p>b</p></article>", "<article><p>a</p><noscript>x</noscript><p>b</p></article>", "<article><p>a<iframe src=x><p>b</article>", "<article><div><p>a</p><template>x</div><p>b</p></article>"):
+        kept = content_paths([p for p, _, _ in slots(html)], wrapper_of(html))
+        assert " ".join(t for p, t, _ in slots(html) if p in kept) == "a b", html
+
+
+def test_folding_and_alignment():
+    assert fold(list("abbc")) == [["a"], ["b"], ["c"]] and fold(list("abcbd")) == [["a"], ["b", "c"], ["d"]]
+    assert align_children([["x"], ["y"], ["z"]], [["x"], ["z"], ["w"]]) == [["x"], ["y"], ["z"], ["w"]]
+    assert align_children([["x"], ["y"], ["z"]], [["z"], ["x"]]) == [["x", "y", "z"]]
+    assert align_children([["x"], ["y"]], [["v"], ["x", "u", "y"]]) == [["v"], ["x", "u", "y"]]
+    w = wrapper_of("<div><h1>t</h1><p>a<p>b</div>", "<div><p>c</div>")
+    assert w["/div"][:2] == [2, 1] and w["/div/h1"][0] == 1 and w["/div/p"][:2] == [2, 2] and w["/div"][7] == [["h1"], ["p"]]
+
+
+def test_combining_in_any_order_decides_alike():
+    rng = random.Random(3)
+    pages = ["<body>" + "".join(f"<{t}>{rng.random()}</{t}>" for t in rng.choices(["div", "p", "section", "h2", "ul"], k=8)) + "<div><p>" + "long words " * rng.randrange(40) + "</div>" for _ in range(40)]
+    one = wrapper_of(*pages)
+    other = infer_wrapper([wrapper_of(*pages[30:]), wrapper_of(*pages[10:30]), wrapper_of(*pages[:10])])
+    strip = lambda w: {p: n[:7] for p, n in w.items()}
+    assert strip(one) == strip(other)
+
+
+def test_wrappers_are_bounded():
+    rng = random.Random(5)
+    pages = ["".join("<%s>" % t for t in rng.choices(["div", "section", "ul", "td", "ol", "dl"], k=9)) + "x%d" % i for i in range(400)]
+    assert len(wrapper_of(*pages)) <= MAX_NODES
+    exprs = [expression(*page_slots(p)) for p in pages]
+    whole = coarsen(infer_wrapper(exprs[:200]), 50)
+    parts = coarsen(infer_wrapper([coarsen(infer_wrapper(exprs[:90]), 50), coarsen(infer_wrapper(exprs[90:200]), 50)]), 50)
+    assert {p: n[:7] for p, n in whole.items()} == {p: n[:7] for p, n in parts.items()}
+    html = "<div>" * 200 + "deep" + "</div>" * 200
+    assert [t for _, t, _ in slots(html)] == ["deep"] and content_paths([p for p, _, _ in slots(html)], wrapper_of(html))
+
+
+def test_host_wrappers_and_names_that_clash(spark):
+    pages = spark.createDataFrame([(i, "http://a.org/x", "<p>t%d" % i, "w", 1) for i in range(3)], "page_id long, url string, html string, wrapper string, `a.b` int")
+    assert [r.text for r in main_text(pages).orderBy("page_id").collect()] == ["t0", "t1", "t2"]
+    (row,) = host_wrappers(pages.selectExpr("'a.org' as host", "html")).collect()
+    assert row.host == "a.org" and row.pages == 3
 
 
 def test_broken_html():
