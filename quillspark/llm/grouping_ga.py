@@ -13,6 +13,8 @@ from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 
 Genome = dict[tuple[int, ...], int]
+#: Share of children that are mutated.
+MUTATION = 0.25
 
 
 def lower_bound(counts: dict[int, int], size: int) -> int:
@@ -79,43 +81,66 @@ def _closing(left: list[int], counts: Counter, used: Counter, gap: int) -> tuple
     return ()
 
 
+class _Rooms:
+    """Bins of a genome by the room they have left."""
+
+    def __init__(self, genome: Genome, size: int):
+        self.genome, self.size = genome, size
+        self.rooms: dict[int, list[tuple[int, ...]]] = {}
+        self.order: list[int] = []
+        for p in genome:
+            if room := size - sum(p):
+                self.rooms.setdefault(room, []).append(p)
+        self.order = sorted(self.rooms)
+
+    def open(self, p: tuple[int, ...], copies: int) -> None:
+        """So many more bins of a pattern."""
+        if p in self.genome:
+            self.genome[p] += copies
+            return
+        self.genome[p] = copies
+        if room := self.size - sum(p):
+            if room not in self.rooms:
+                self.rooms[room] = []
+                insort(self.order, room)
+            self.rooms[room].append(p)
+
+    def put(self, n: int, copies: int) -> int:
+        """Documents of length ``n`` go where the least room is left over; how many fit nowhere."""
+        while copies and (at := bisect_left(self.order, n)) < len(self.order):
+            room = self.order[at]
+            p = self.rooms[room].pop()
+            if not self.rooms[room]:
+                del self.rooms[room], self.order[at]
+            some = min(copies, self.genome[p])
+            rest = self.genome.pop(p) - some
+            if rest:
+                self.open(p, rest)
+            copies -= some
+            self.open(tuple(sorted((*p, n), reverse=True)), some)
+        return copies
+
+
 def best_fit(displaced: Counter, genome: Genome, size: int) -> None:
     """Put displaced documents, longest first, where the least room is left over; the rest stays in ``displaced``."""
-    rooms: dict[int, list[tuple[int, ...]]] = {}
-    for p in genome:
-        if room := size - sum(p):
-            rooms.setdefault(room, []).append(p)
-    order = sorted(rooms)
+    rooms = _Rooms(genome, size)
     for n in sorted(displaced, reverse=True):
-        while displaced[n]:
-            at = bisect_left(order, n)
-            if at == len(order):
-                break
-            room = order[at]
-            p = rooms[room].pop()
-            if not rooms[room]:
-                del rooms[room], order[at]
-            put = min(displaced[n], genome[p])
-            if genome[p] == put:
-                del genome[p]
-            else:
-                genome[p] -= put
-                _room(rooms, order, room, p)
-            displaced[n] -= put
-            grown = tuple(sorted((*p, n), reverse=True))
-            if grown in genome:
-                genome[grown] += put
-            else:
-                genome[grown] = put
-                if room > n:
-                    _room(rooms, order, room - n, grown)
-
-
-def _room(rooms: dict, order: list[int], room: int, p: tuple[int, ...]) -> None:
-    if room not in rooms:
-        rooms[room] = []
-        insort(order, room)
-    rooms[room].append(p)
+        displaced[n] = rooms.put(n, displaced[n])
+
+
+def random_best_fit(counts: dict[int, int], size: int, rng: random.Random) -> Genome:
+    """Documents in random order, in portions of a length, each by best fit: what islands start from."""
+    portions = []
+    for n in sorted(counts):
+        cuts = sorted(rng.randrange(counts[n] + 1) for _ in range(2))
+        portions += [(n, c) for c in (cuts[0], cuts[1] - cuts[0], counts[n] - cuts[1]) if c]
+    rng.shuffle(portions)
+    genome: Genome = {}
+    rooms = _Rooms(genome, size)
+    for n, c in portions:
+        if rest := rooms.put(n, c):
+            rooms.open((n,), rest)
+    return genome
 
 
 def crossover(a: Genome, b: Genome, counts: dict[int, int], size: int, rng: random.Random) -> Genome:
@@ -148,24 +173,39 @@ def crossover(a: Genome, b: Genome, counts: dict[int, int], size: int, rng: rand
     return child
 
 
+def mutate(a: Genome, size: int, rng: random.Random) -> Genome:
+    """Take the bins with room apart, and some full ones, and pack what they held anew."""
+    child: Genome = {}
+    left: Counter = Counter()
+    for p, copies in a.items():
+        if sum(p) == size and rng.random() < 0.9:
+            child[p] = copies
+        else:
+            for n in p:
+                left[n] += copies
+    fill(left, size, rng, child)
+    return child
+
+
 def evolve(population: list[Genome], counts: dict[int, int], size: int, generations: int, members: int, rng: random.Random) -> list[Genome]:
-    """Best ``members`` genomes after ``generations``; starts with greedy ones if there are too few.
+    """Best ``members`` genomes after ``generations``; starts with random best-fit ones if there are too few.
 
     Stops early at the lower bound, which nothing can beat.
     """
     population = list(population)
     while len(population) < members:
-        genome: Genome = {}
-        fill(Counter(counts), size, rng if population else None, genome)
-        population.append(genome)
-    rank = lambda g: fitness(g, size)
-    population.sort(key=rank, reverse=True)
+        population.append(random_best_fit(counts, size, rng))
+    ranked = sorted(((fitness(g, size), k, g) for k, g in enumerate(population)), key=lambda r: (r[0], -r[1]), reverse=True)[:members]
     least = lower_bound(counts, size)
-    for _ in range(generations):
-        if -rank(population[0])[0] <= least:
+    for k in range(generations):
+        if -ranked[0][0][0] <= least:
             break
-        a, b = (population[min(rng.randrange(len(population)), rng.randrange(len(population)))] for _ in range(2))
-        population.append(crossover(a, b, counts, size, rng))
-        population.sort(key=rank, reverse=True)
-        del population[members:]
-    return population
+        # Parents by tournament; the injected bins come from the better one.
+        one, two = (min(rng.randrange(len(ranked)), rng.randrange(len(ranked))) for _ in range(2))
+        child = crossover(ranked[max(one, two)][2], ranked[min(one, two)][2], counts, size, rng)
+        if rng.random() < MUTATION:
+            child = mutate(child, size, rng)
+        ranked.append((fitness(child, size), len(population) + k, child))
+        ranked.sort(key=lambda r: (r[0], -r[1]), reverse=True)
+        del ranked[members:]
+    return [g for _, _, g in ranked]

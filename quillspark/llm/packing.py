@@ -2,7 +2,7 @@
 
 1. Each document is encoded once; documents longer than a sequence are cut.
 2. The number of pieces of each length (at most ``size`` numbers, whatever the
-   corpus) goes to islands, tasks that each evolve a population by the grouping
+   corpus) goes to islands that start from random best-fit packings, tasks that each evolve a population by the grouping
    genetic algorithm; their elites move on to the next island between epochs.
 3. The best genome's bins become intervals of ranks: the r-th piece of a length
    takes the place that the r-th use of this length has.  Ranks are counted in
@@ -12,6 +12,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import random
 import zlib
 from array import array
@@ -24,7 +25,8 @@ from quillspark.llm import grouping_ga as ga
 from quillspark.llm.tokens import encoder
 from quillspark.scratch import materialize
 
-SIZE, ISLANDS, EPOCHS, GENERATIONS, MEMBERS = 2048, 6, 3, 12, 6
+_log = logging.getLogger(__name__)
+SIZE, ISLANDS, EPOCHS, GENERATIONS, MEMBERS = 2048, 4, 5, 16, 6
 
 
 def encode_pieces(docs: DataFrame, tokenizer: str, kind: str, size: int, end_id: int = 0) -> DataFrame:
@@ -57,12 +59,13 @@ def _load(text: str) -> ga.Genome:
     return {tuple(p): c for p, c in json.loads(text)}
 
 
-def evolve_islands(spark, counts: dict[int, int], size: int, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, members: int = MEMBERS, seed: int = 7) -> ga.Genome:
-    """The best genome of all islands.
+def evolve_islands(spark, counts: dict[int, int], size: int, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, members: int = MEMBERS, seed: int = 7) -> tuple[ga.Genome, list[int]]:
+    """The best genome of all islands, and the bins of its island's best one after each epoch.
 
     Every epoch is one task an island.  It gives back the island's population
-    and, for the next island on the ring, its elite.  Seeds follow from island
-    and epoch, so a task that is run again gives the same.
+    and, for the next island on the ring, its elite.  Islands start from random
+    best-fit packings.  Seeds follow from island and epoch, so a task that is
+    run again gives the same.
     """
     def epoch(number: int):
         def run(pdf):
@@ -72,18 +75,20 @@ def evolve_islands(spark, counts: dict[int, int], size: int, islands: int = ISLA
             rng = random.Random(seed * 1_000_003 + number * 1009 + island)
             own = [_load(g) for g in sorted(g for g in pdf["genome"] if g)]
             population = ga.evolve(own, counts, size, generations, members, rng)
-            rows = [(island, _dump(g), *ga.fitness(g, size)) for g in population]
-            rows.append(((island + 1) % islands, *rows[0][1:]))
-            return pd.DataFrame(rows, columns=["island", "genome", "bins", "filled"])
+            before = max(pdf["history"].loc[pdf["own"]], default="")
+            history = f"{before} {sum(population[0].values())}".strip()
+            rows = [(island, True, _dump(g), *ga.fitness(g, size), history) for g in population]
+            rows.append(((island + 1) % islands, False, *rows[0][2:]))
+            return pd.DataFrame(rows, columns=["island", "own", "genome", "bins", "filled", "history"])
 
         return run
 
-    schema = "island int, genome string, bins long, filled double"
-    state = spark.range(islands).selectExpr("cast(id as int) as island", "cast(null as string) as genome", "0L as bins", "0D as filled")
+    schema = "island int, own boolean, genome string, bins long, filled double, history string"
+    state = spark.range(islands).selectExpr("cast(id as int) as island", "true as own", "cast(null as string) as genome", "0L as bins", "0D as filled", "'' as history")
     for number in range(epochs):
         state = state.groupBy("island").applyInPandas(epoch(number), schema)
-    best = state.orderBy(F.col("bins").desc(), F.col("filled").desc(), "genome").select("genome").first()
-    return _load(best["genome"])
+    best = state.orderBy(F.col("bins").desc(), F.col("filled").desc(), "genome").select("genome", "history").first()
+    return _load(best["genome"]), [int(n) for n in best["history"].split()]
 
 
 def _places(genome: ga.Genome) -> list[tuple[int, int, int, int, int]]:
@@ -100,22 +105,25 @@ def _places(genome: ga.Genome) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def pack(pieces: DataFrame, size: int = SIZE, order: tuple[str, ...] = ("doc_id", "piece"), **islands) -> DataFrame:
+def pack(pieces: DataFrame, size: int = SIZE, order: tuple[str, ...] = ("doc_id", "piece"), spread: tuple[str, ...] = (), **islands) -> DataFrame:
     """``pieces`` (a written table with ``length``, 1 to ``size``) with ``sequence_id`` and ``offset``.
 
     Every sequence is gapless from offset 0.  Pieces of one length are dealt in
     ``order`` within groups; ties and repeated rows each get a place of their
-    own.  An empty table gives an empty result.
+    own.  Groups are told by ``order`` and ``spread``, so that pieces of one length with null or repeated ids
+    are not one group.  An empty table gives an empty result.
     """
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return pieces.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
-    places = _places(evolve_islands(spark, counts, size, **islands))
+    genome, history = evolve_islands(spark, counts, size, **islands)
+    _log.info("bins after each epoch: %s; lower bound %d", history, ga.lower_bound(counts, size))
+    places = _places(genome)
     # Groups hold about this many pieces: some for each shuffle partition.
     even = max(256, sum(counts.values()) // (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     salts = spark.createDataFrame([(n, -(-c // even)) for n, c in counts.items()], "length long, pk_salts long")
-    salted = pieces.join(F.broadcast(salts), "length").withColumn("pk_salt", F.pmod(F.xxhash64(*order), F.col("pk_salts"))).drop("pk_salts")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("pk_salt", F.pmod(F.xxhash64(*order, *spread), F.col("pk_salts"))).drop("pk_salts")
     ranked = salted.withColumn("pk_in", F.row_number().over(Window.partitionBy("length", "pk_salt").orderBy(*order)))
     # At most one row for each length and salt: size + 8 x partitions.
     sizes = salted.groupBy("length", "pk_salt").agg(F.count(F.lit(1)).alias("pk_n"))
@@ -134,4 +142,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "word", size: in
     Null and empty texts are one piece of the end id.  Null ids are kept.  Rows
     repeated with one id are packed each.  Columns other than doc_id and text are ignored.
     """
-    return pack(materialize(encode_pieces(docs, tokenizer, kind, size), "pieces"), size, **islands)
+    return pack(materialize(encode_pieces(docs, tokenizer, kind, size), "pieces"), size, spread=("ids_crc32",), **islands)

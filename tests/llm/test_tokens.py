@@ -58,21 +58,41 @@ def test_packing_empty_and_null(make_docs):
     assert len(rows) == 3 and {r.sequence_id for r in rows} == {0} and {r.offset for r in rows} == {0, 1, 2}
 
 
-def test_genetic_algorithm_improves_hard_bins():
-    rng = random.Random(1)
-    counts = Counter()
-    for _ in range(150):  # triples that fill a bin exactly, which greedy packing misses
-        a, b = rng.randrange(260, 380), rng.randrange(260, 380)
-        counts.update([a, b, 1000 - a - b])
-    greedy: ga.Genome = {}
-    ga.fill(Counter(counts), 1000, None, greedy)
-    best = ga.evolve([], counts, 1000, 60, 6, random.Random(3))[0]
+def check_genome(genome, counts, size):
     used = Counter()
-    for pattern, copies in best.items():
-        assert sum(pattern) <= 1000
+    for pattern, copies in genome.items():
+        assert sum(pattern) <= size and copies > 0
         for n in pattern:
             used[n] += copies
-    assert used == counts and 150 <= sum(best.values()) <= sum(greedy.values())
+    assert used == Counter(counts)
+
+
+@pytest.mark.parametrize("copies", [1, 1000])
+def test_genetic_algorithm_improves_what_it_starts_from(copies):
+    rng = random.Random(1)
+    counts = Counter()
+    for _ in range(150):  # triples that fill a bin exactly
+        a, b = rng.randrange(260, 380), rng.randrange(260, 380)
+        for n in (a, b, 1000 - a - b):
+            counts[n] += copies
+    population, history = [], []
+    for _ in range(4):
+        population = ga.evolve(population, counts, 1000, 40 if population else 0, 6, random.Random(3))
+        history.append(sum(population[0].values()))
+    check_genome(population[0], counts, 1000)
+    assert history[0] > history[1] >= history[2] >= history[3] >= ga.lower_bound(counts, 1000) >= 150 * copies
+    assert history[3] <= 1.06 * 150 * copies < history[0]
+
+
+def test_islands_reach_the_bound_of_real_lengths(spark, small):
+    from quillspark.llm.packing import evolve_islands
+
+    rng = random.Random(2)
+    counts = Counter(min(2048, 1 + int(rng.expovariate(1 / 700))) for _ in range(3000))
+    genome, history = evolve_islands(spark, counts, 2048)
+    check_genome(genome, counts, 2048)
+    least = ga.lower_bound(counts, 2048)
+    assert sum(genome.values()) == history[-1] <= 1.002 * least and history == sorted(history, reverse=True)
 
 
 def test_crossover_keeps_every_document():
@@ -84,12 +104,9 @@ def test_crossover_keeps_every_document():
         ga.fill(Counter(counts), 100, rng, g)
         genomes.append(g)
     child = ga.crossover(*genomes, counts, 100, rng)
-    used = Counter()
-    for pattern, copies in child.items():
-        assert sum(pattern) <= 100 and copies > 0
-        for n in pattern:
-            used[n] += copies
-    assert used == counts
+    check_genome(child, counts, 100)
+    check_genome(ga.mutate(child, 100, rng), counts, 100)
+    check_genome(ga.random_best_fit(counts, 100, rng), counts, 100)
 
 
 def test_token_table_round_trip(spark, make_docs, corpus):
