@@ -6,11 +6,16 @@
    A pair of classes is looked at in the first band they share, nowhere else.
    A first pass over signatures alone finds which classes have such a pair in a
    bucket, so n-gram sets are moved for those only.
-3. Pairs are verified on the full sets inside the tasks.  Buckets of more than
-   ``BLOCK`` classes are cut into blocks, and each pair of blocks is a unit of
-   its own.  A unit gives back counts of links and a spanning forest of them,
-   never the pairs, so output stays linear where a group is dense.
-4. The forests' components are the join's classes.
+3. In buckets of more than ``BLOCK`` classes, each class is first compared with
+   one leader.  Jaccard distance is a metric: two classes within half the allowed
+   distance of one leader are linked, without being compared.  So a dense group
+   of near copies takes one comparison a class, and its links are counted.
+4. All other pairs are verified on the full sets inside the tasks.  What is left
+   of buckets of more than ``BLOCK`` classes is cut into blocks, and each pair of
+   blocks is a unit of its own; the largest leader's classes meet only others.
+   A unit gives back counts of links and a spanning forest of them, never the
+   pairs, so output stays linear where a group is dense.
+5. The forests' components are the join's classes.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from quillspark.llm.components import connected_components
 from quillspark.llm.shingles import mix, shingle_set
 from quillspark.llm.tokens import forget
-from quillspark.operators.skew import hot_cold_join
+from quillspark.operators.skew import column_of, hot_cold_join, numbered, renamed
 from quillspark.scratch import materialize, release
 
 THRESHOLD, WIDTH, RECALL, MAX_HASHES = 0.8, 5, 0.9999, 128
@@ -86,26 +91,51 @@ def _groups(batches: Iterable, keys: int) -> Iterator[list[list]]:
         yield held
 
 
-def _first_shared(signatures: np.ndarray, band: int) -> np.ndarray:
-    """Matrix: do two classes share no band before ``band``?"""
+def _first_shared(signatures: np.ndarray, band: int, leaders: list) -> np.ndarray:
+    """Matrix: do two classes share no band before ``band``, and no leader?"""
     fresh = np.ones((len(signatures), len(signatures)), bool)
     for k in range(band):
         fresh &= signatures[:, k, None] != signatures[None, :, k]
-    return fresh
+    names = {name: i for i, name in enumerate(dict.fromkeys(leaders))}
+    own = np.array([names[x] if x is not None else -1 - i for i, x in enumerate(leaders)])
+    return fresh & (own[:, None] != own[None])
 
 
 def _prune(batches: Iterable):
     """Of each bucket the classes that meet some other class here for the first time."""
     import pyarrow as pa
 
-    for band, bucket, size, key, bands in _groups(batches, 2):
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    for band, bucket, size, key, leader, bands in _groups(batches, 2):
         if len(key) < 2:
             continue
-        fresh = _first_shared(np.array(bands, np.int64), band[0])
+        fresh = _first_shared(np.array(bands, np.int64), band[0], leader)
         np.fill_diagonal(fresh, False)
         keep = np.flatnonzero(fresh.any(1)).tolist()
         if keep:
-            yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in keep], t) for c, t in zip((band, bucket, size, key), (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["band", "bucket", "size", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in keep], t) for c, t in zip((band, bucket, size, key), types)], ["band", "bucket", "size", "key"])
+
+
+def _near_leader(threshold: float):
+    """Rows come by bucket and salt, the leader first; the keys within half the allowed distance of it, and the leader."""
+    def run(batches: Iterable):
+        import pyarrow as pa
+
+        now, leader, grams = None, None, None
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+            out = []
+            for *unit, member, key, data in zip(*(c.to_pylist() for c in batch.columns)):
+                own = np.frombuffer(data, np.uint64)
+                if not member:
+                    now, leader, grams = unit, key, own
+                elif unit == now:
+                    both = np.intersect1d(own, grams, assume_unique=True).size
+                    # Both distances together then are no more than 1 - threshold.
+                    if 2 * both >= (1 + threshold) * (len(own) + len(grams) - both) + 1e-6:
+                        out.append((key, leader))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary()) for k in range(2)], ["key", "leader"])
+
+    return run
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -141,14 +171,14 @@ def _verify(threshold: float):
 
         forget()
         out: list[list] = [[], [], []]
-        for low, high, band, bucket, block, key, bands, data in _groups(batches, 4):
+        for low, high, band, bucket, block, key, leader, bands, data in _groups(batches, 4):
             n = len(key)
             if n > 1:
                 sets = [np.frombuffer(d, np.uint64) for d in data]
                 both, size = intersections(sets), np.array([len(s) for s in sets])
                 # Integers alone decide: both / union >= threshold, on whole sets.
                 union = size[:, None] + size[None] - both
-                linked = (both >= np.ceil(threshold * union - 1e-9)) & _first_shared(np.array(bands, np.int64), band[0])
+                linked = (both >= np.ceil(threshold * union - 1e-9)) & _first_shared(np.array(bands, np.int64), band[0], leader)
                 np.fill_diagonal(linked, False)
                 if low[0] != high[0]:
                     blocks = np.array(block)
@@ -199,6 +229,33 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "key binary, grams binary")
 
 
+def _sets_of(docs: DataFrame, copies: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """(key, grams) of the classes in ``keys``, from the text of one document each."""
+    wanted = keys.join(copies.select("key", "id"), "key")
+    # Both sides grow with the corpus, so texts are always dealt by id, never met by a broadcast.
+    sets = _sets(docs.join(wanted.select("id").distinct().hint("merge"), "id", "left_semi").select("text"), width)
+    return sets.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
+
+
+def _dense_units(dense: DataFrame, block: int) -> DataFrame:
+    """Pairs of blocks of large buckets (band, bucket, size, key, leader): the largest leader's classes meet the others, and these each other."""
+    led = dense.where("leader is not null").groupBy("band", "bucket", "leader").agg(F.count(F.lit(1)).alias("n"))
+    most = led.groupBy("band", "bucket").agg(F.max(F.struct("n", "leader")).alias("m")).select("band", "bucket", F.col("m.n").alias("n_main"), F.col("m.leader").alias("main"))
+    # The largest buckets are few: a bucket has more than ``block`` classes.
+    sizes = dense.groupBy("band", "bucket").agg(F.max("size").alias("size")).join(most, ["band", "bucket"], "left")
+    sizes = materialize(sizes.select("band", "bucket", "main", F.coalesce("n_main", F.lit(0)).alias("n_main"), "size"), "dense")
+    rows = hot_cold_join(dense.drop("size"), sizes, ["band", "bucket"], "size", F.col("key"))
+    others, mains = F.ceil((F.col("size") - F.col("n_main")) / block).cast("int"), F.ceil(F.col("n_main") / block).cast("int")
+    is_main = F.coalesce(F.col("leader") == F.col("main"), F.lit(False))
+    # Blocks of the main leader have negative numbers.
+    rows = rows.withColumn("block", F.when(is_main, -1 - F.pmod(F.xxhash64("key"), F.greatest(mains, F.lit(1)))).otherwise(F.pmod(F.xxhash64("key"), F.greatest(others, F.lit(1)))).cast("int"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    with_others = upto(others)
+    with_mains = F.transform(upto(mains), lambda i: -1 - i)
+    rows = rows.withColumn("other", F.explode(F.when(F.col("block") < 0, with_others).otherwise(F.concat(with_others, with_mains))))
+    return rows.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "band", "bucket", "block", "key")
+
+
 def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, recall: float = RECALL, max_hashes: int = MAX_HASHES, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): its class, and links at Jaccard ``threshold`` or more.
 
@@ -225,27 +282,45 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     met = hot_cold_join(buckets, sizes, ["band", "bucket"], "size", F.col("key")).where("size is not null").select("band", "bucket", "size", "key")
     met = materialize(met, "met")
     release(spark)
-    signed = met.where(F.col("size") <= block).join(copies.select("key", "bands"), "key").select("band", "bucket", "size", "key", "bands")
-    small = signed.repartition("band", "bucket").sortWithinPartitions("band", "bucket").mapInArrow(_prune, "band int, bucket long, size long, key binary")
-    need = materialize(small.union(met.where(F.col("size") > block)), "candidates")
+    dense = met.where(F.col("size") > block)
+    if dense.limit(1).count():
+        # A class asks the leader of the first large bucket it is in; the leader goes to all tasks that have some of the bucket.
+        salts = F.ceil(F.col("size") / block).cast("int")
+        first = dense.groupBy("key").agg(F.min(F.struct("band", "bucket", "size")).alias("b")).select("b.*", "key")
+        heads = dense.groupBy("band", "bucket", "size").agg(F.min("key").alias("key"))
+        asked = first.select("band", "bucket", F.pmod(F.xxhash64("key"), salts).cast("int").alias("salt"), F.lit(1).alias("member"), "key")
+        asked = asked.union(heads.select("band", "bucket", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("member"), "key"))
+        asked = asked.join(_sets_of(docs, copies, dense.select("key").distinct(), width), "key").select("band", "bucket", "salt", "member", "key", "grams")
+        asked = asked.repartition("band", "bucket", "salt").sortWithinPartitions("band", "bucket", "salt", "member")
+        led = materialize(asked.mapInArrow(_near_leader(threshold), "key binary, leader binary"), "led")
+        groups = led.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
+        groups = materialize(groups, "leaders")
+        sure = hot_cold_join(led, groups, ["leader"], "n", F.col("key")).select("key", (F.col("n") - 1).alias("links"), F.col("leader").alias("root"))
+        copies = materialize(copies.join(led, "key", "left"), "copies")
+    else:
+        led, sure = None, None
+        copies = copies.withColumn("leader", F.lit(None).cast("binary"))
     release(spark)
-    wanted = need.select("key").distinct().join(copies, "key").select("id", "key")
-    # Both sides grow with the corpus, so texts are always dealt by id, never met by a broadcast.
-    sets = _sets(docs.join(wanted.select("id").distinct().hint("merge"), "id", "left_semi").select("text"), width)
-    sets = sets.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
-    # A bucket over ``block`` goes out as pairs of blocks.
-    units = need.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "band", "bucket", "block", "key")
-    units = units.join(copies.select("key", "bands"), "key").join(sets, "key").select("low", "high", "band", "bucket", "block", "key", "bands", "grams")
+    signed = met.where(F.col("size") <= block).join(copies.select("key", "leader", "bands"), "key").select("band", "bucket", "size", "key", "leader", "bands")
+    need = signed.repartition("band", "bucket").sortWithinPartitions("band", "bucket").mapInArrow(_prune, "band int, bucket long, size long, key binary")
+    need = need.select(F.lit(0).alias("low"), F.lit(0).alias("high"), "band", "bucket", F.lit(0).alias("block"), "key")
+    if led is not None:
+        need = need.union(_dense_units(dense.join(led, "key", "left"), block))
+    need = materialize(need, "candidates")
+    release(spark)
+    sets = _sets_of(docs, copies, need.select("key").distinct(), width)
+    units = need.join(copies.select("key", "leader", "bands"), "key").join(sets, "key").select("low", "high", "band", "bucket", "block", "key", "leader", "bands", "grams")
     units = units.repartition("band", "bucket", "low", "high").sortWithinPartitions("low", "high", "band", "bucket")
-    links = materialize(units.mapInArrow(_verify(threshold), "key binary, links long, root binary"), "links")
+    links = units.mapInArrow(_verify(threshold), "key binary, links long, root binary")
+    links = materialize(links.union(sure) if sure is not None else links, "links")
     release(spark)
     roots = connected_components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("key").agg(F.sum("links").alias("n_links"))
     classes = copies.select("key", "n_copies", "least", "id").join(counts, "key", "left").join(roots.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = classes.groupBy("root").agg(F.min("least").alias("class_id"), F.min("id").alias("least_id"))
-    classes = materialize(classes.join(least, "root").select("key", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "class_id", F.coalesce("class_id", "least_id").alias("stays_id")), "classes")
+    classes = materialize(classes, "rooted")
+    least = materialize(classes.groupBy("root").agg(F.min("least").alias("class_id"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("size")), "components")
+    classes = hot_cold_join(classes, least, ["root"], "size", F.col("key"))
+    classes = materialize(classes.select("key", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "class_id", F.coalesce("class_id", "least_id").alias("stays_id")), "classes")
     out = hot_cold_join(sketches.select("doc_id", "id", "key"), classes, ["key"], "n_copies", F.col("id"))
     alone = F.col("key").isNull()
     return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"), F.col("id").alias("row_id"), F.when(alone, F.col("id")).otherwise(F.col("stays_id")).alias("stays_id"))
@@ -253,6 +328,8 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
 
 def one_per_class(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs``, with all their columns, that stand for their class; rows that share an id share its fate."""
-    stay = ngram_join(docs, **options).where("row_id = stays_id").select(F.col("row_id").alias("nj_row")).distinct()
-    rows = docs.drop("nj_row").withColumn("nj_row", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    return rows.join(stay, "nj_row", "left_semi").drop("nj_row")
+    rows, names = numbered(docs)
+    doc_id, text = column_of(names, "doc_id").cast("long"), column_of(names, "text")
+    stay = ngram_join(rows.select(doc_id.alias("doc_id"), text.alias("text")), **options).where("row_id = stays_id").select(F.col("row_id").alias("row")).distinct()
+    rows = rows.withColumn("row", F.coalesce(doc_id, F.xxhash64(text)))
+    return rows.join(stay, "row", "left_semi").select(*renamed(names))

@@ -51,6 +51,57 @@ def test_brute_force(make_docs, corpus, block):
     assert got == brute(corpus)
 
 
+def near_copies(n, seed, every=1):
+    """Texts that differ from one base in a word, or (every so often) in several."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+    out = []
+    for k in range(n):
+        words = list(base)
+        for at in rng.sample(range(150), 1 if k % every else rng.randrange(1, 6)):
+            words[at] = f"x{rng.randrange(9)}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("block, every", [(20, 150), (7, 2)])
+def test_dense_groups(make_docs, corpus, block, every):
+    rows = [(1000 + i, t) for i, t in enumerate(near_copies(150, 1, every) + near_copies(60, 2, every))] + corpus[:20]
+    got = sorted(((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in ngram_join(make_docs(rows), block=block).collect()), key=repr)
+    want = brute(rows)
+    # The bands find a pair with probability 0.9999 or more.
+    wrong = [(a, b) for a, b in zip(got, want) if a != b]
+    assert [a[:2] for a in got] == [b[:2] for b in want] and len(wrong) <= 2
+
+
+def test_classes_of_one_leader_meet_no_more(spark):
+    from quillspark.llm.ngram_join import _dense_units
+
+    rows = [(bytes([i]), 0, 7, 100, b"L" if i < 90 else None) for i in range(100)]
+    dense = spark.createDataFrame(rows, "key binary, band int, bucket long, size long, leader binary")
+    units = _dense_units(dense, 10).collect()
+    assert len(units) <= 100 + 10 * 9 + 10 and all(u.high >= 0 for u in units)
+    pairs = {(a.key, b.key) for a in units for b in units if (a.low, a.high) == (b.low, b.high) and (a.block != b.block or a.low == a.high) and a.key != b.key}
+    assert {(x[0], y[0]) for x in rows for y in rows if x[0] != y[0] and not (x[4] and y[4])} <= pairs
+    only = spark.createDataFrame([r for r in rows if r[4]], dense.schema).replace(100, 90, ["size"])
+    assert _dense_units(only, 10).count() == 0
+
+
+def test_names_that_clash(spark):
+    names = ["doc_id", "text", "nj_row", "row", "a.b", "id"]
+    docs = spark.createDataFrame([(1, "a b c d e f", 1, 2, 3, 4), (2, "a b c d e f", 1, 2, 3, 4)], "a long, b string, c int, d int, e int, f int").toDF(*names)
+    kept = one_per_class(docs)
+    assert kept.columns == names and [tuple(r) for r in kept.collect()] == [(1, "a b c d e f", 1, 2, 3, 4)]
+
+
+def test_hubs_and_long_chains(spark):
+    from quillspark.llm.components import connected_components
+
+    star, chain = [(0, i) for i in range(1, 300)], [(1000 + i, 1001 + i) for i in range(200)]
+    got = {r.v: r.root for r in connected_components(spark.createDataFrame(star + chain + [(5, 5)], "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(300)} | {1000 + i: 1000 for i in range(201)}
+
+
 def test_one_per_class(make_docs, corpus):
     docs = make_docs(corpus)
     kept = one_per_class(docs)
