@@ -30,7 +30,7 @@ from quillspark.llm.components import connected_components
 from quillspark.llm.shingles import mix, shingle_set
 from quillspark.llm.tokens import forget
 from quillspark.operators.skew import column_of, hot_cold_join, numbered, renamed
-from quillspark.scratch import materialize, release
+from quillspark.scratch import discard, materialize, release
 
 THRESHOLD, WIDTH, RECALL, MAX_HASHES = 0.8, 5, 0.9999, 128
 BLOCK = 500
@@ -281,6 +281,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     # Signatures follow only the few rows that share a bucket.
     met = hot_cold_join(buckets, sizes, ["band", "bucket"], "size", F.col("key")).where("size is not null").select("band", "bucket", "size", "key")
     met = materialize(met, "met")
+    discard(sizes)
     release(spark)
     dense = met.where(F.col("size") > block)
     if dense.limit(1).count():
@@ -296,7 +297,8 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
         groups = led.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
         groups = materialize(groups, "leaders")
         sure = hot_cold_join(led, groups, ["leader"], "n", F.col("key")).select("key", (F.col("n") - 1).alias("links"), F.col("leader").alias("root"))
-        copies = materialize(copies.join(led, "key", "left"), "copies")
+        plain, copies = copies, materialize(copies.join(led, "key", "left"), "copies")
+        discard(plain)
     else:
         led, sure = None, None
         copies = copies.withColumn("leader", F.lit(None).cast("binary"))
@@ -307,20 +309,24 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     if led is not None:
         need = need.union(_dense_units(dense.join(led, "key", "left"), block))
     need = materialize(need, "candidates")
+    discard(met)
     release(spark)
     sets = _sets_of(docs, copies, need.select("key").distinct(), width)
     units = need.join(copies.select("key", "leader", "bands"), "key").join(sets, "key").select("low", "high", "band", "bucket", "block", "key", "leader", "bands", "grams")
     units = units.repartition("band", "bucket", "low", "high").sortWithinPartitions("low", "high", "band", "bucket")
     links = units.mapInArrow(_verify(threshold), "key binary, links long, root binary")
     links = materialize(links.union(sure) if sure is not None else links, "links")
+    discard(need)
     release(spark)
     roots = connected_components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("key").agg(F.sum("links").alias("n_links"))
     classes = copies.select("key", "n_copies", "least", "id").join(counts, "key", "left").join(roots.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = materialize(classes, "rooted")
     least = materialize(classes.groupBy("root").agg(F.min("least").alias("class_id"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("size")), "components")
-    classes = hot_cold_join(classes, least, ["root"], "size", F.col("key"))
+    rooted = classes
+    classes = hot_cold_join(rooted, least, ["root"], "size", F.col("key"))
     classes = materialize(classes.select("key", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "class_id", F.coalesce("class_id", "least_id").alias("stays_id")), "classes")
+    discard(links, rooted, least, *([copies] if led is not None else []))
     out = hot_cold_join(sketches.select("doc_id", "id", "key"), classes, ["key"], "n_copies", F.col("id"))
     alone = F.col("key").isNull()
     return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"), F.col("id").alias("row_id"), F.when(alone, F.col("id")).otherwise(F.col("stays_id")).alias("stays_id"))

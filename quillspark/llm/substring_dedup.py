@@ -10,16 +10,20 @@ one segment.
 2. Occurrences of minimizers are counted.  A string whose minimizer occurs once
    cannot repeat: only segments of repeated minimizers go on.
 3. Their bytes are cut out of the texts and dealt by minimizer; each shard
-   orders its segments and marks the strings that start earlier elsewhere.  A
-   minimizer of more segments than a task should hold is dealt again by the
-   hash of each string, and a combined aggregation finds its first occurrence.
-4. Marks go back to their documents.
+   orders its segments and marks the strings that start earlier elsewhere.
+4. A minimizer of more segments than a task should hold is split: equal segments
+   are merged by a combined aggregation, and the others are cut again by a
+   deeper minimizer, the least hash of another order, until parts are small.
+   Their parts are ordered like all others.  Strings that share their minimizers
+   in all orders are all but equal, and combined aggregation finds the first of each.
+5. Marks go back to their documents.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -28,11 +32,13 @@ from quillspark.llm.exact_dedup import sha256_digest
 from quillspark.llm.parsing import END, TRIGGER, eight, repeated
 from quillspark.llm.shingles import _ODD, mix
 from quillspark.operators.skew import hot_cold_join
-from quillspark.scratch import materialize, release
+from quillspark.scratch import discard, materialize, release
 
 WIDTH, GRAM = 100, 24
 #: Segments of one minimizer that a shard orders in memory, and bytes that it orders at a time.
 HOT, TOGETHER = 200_000, 1_000_000
+#: Orders of deeper minimizers.
+LEVELS = 6
 LAST = 2**63 - 1
 
 
@@ -70,17 +76,20 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - span)], h[width - span :]) if width > span else h
 
 
-def segments(texts: list[bytes], width: int = WIDTH, gram: int = GRAM):
+def segments(texts: list[bytes], width: int = WIDTH, gram: int = GRAM, level: int = 0):
     """(text number, start, strings, minimizer, times) of each run of strings with one minimizer.
 
     ``times`` is how often the minimizing gram occurs in the run: in periodic
-    text strings of one run repeat.  Texts are joined for speed.
+    text strings of one run repeat.  Each ``level`` has an order of hashes of its
+    own.  Texts are joined for speed.
     """
     lengths = np.array([len(t) for t in texts])
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < width:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     hashes, grams = gram_hashes(data, gram), width - gram + 1
+    if level:
+        hashes = mix(hashes ^ _ODD[level % len(_ODD)] ^ np.uint64(level))
     least = _least(hashes, grams)
     begin = np.cumsum(lengths) - lengths
     owner = np.repeat(np.arange(len(texts)), lengths)[: len(least)]
@@ -237,6 +246,22 @@ def _shard(width: int):
     return run
 
 
+def _deeper(width: int, gram: int, level: int):
+    """Segments of one minimizer, cut again where the minimizer of the next order changes."""
+    def run(batches: Iterable):
+        import pyarrow as pa
+
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.int64())
+        for batch in (b.slice(i, 4096) for b in batches for i in range(0, b.num_rows, 4096)):
+            doc_id, uid, start, least, _, data = (c.to_pylist() for c in batch.columns)
+            owner, at, strings, deeper, times = segments(data, width, gram, level)
+            keys = mix(np.array(least, np.int64).view(np.uint64)[owner] ^ mix(deeper)).view(np.int64)
+            rows = [(doc_id[o], uid[o], start[o] + a, k, t > 1, data[o][a : a + n + width - 1], t) for o, a, n, k, t in zip(*(x.tolist() for x in (owner, at, strings, keys, times)))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["doc_id", "uid", "start", "least", "within", "bytes", "times"])
+
+    return run
+
+
 def _strings(width: int):
     def run(batches: Iterable):
         import pyarrow as pa
@@ -280,6 +305,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: i
     release(spark)
     going = hot_cold_join(found, counts, ["least"], "n", F.struct("uid", "start")).where("n is not null")
     going = materialize(going.select("uid", F.struct("start", "strings", "least", "times").alias("s"), (F.col("n") > hot).alias("hot")), "segments")
+    discard(found)
     release(spark)
 
     def cut(some: DataFrame) -> DataFrame:
@@ -289,16 +315,34 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: i
         return rows.mapInArrow(_cut(width), "doc_id long, uid long, start int, least long, within boolean, bytes binary")
 
     place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.col("start").alias("s"))
-    dealt = cut(going.where("not hot")).repartition("least").sortWithinPartitions("least", F.coalesce("doc_id", F.lit(LAST)), "start")
-    spans = materialize(dealt.mapInArrow(_shard(width), "doc_id long, uid long, `from` int, `to` int"), "spans")
-    release(spark)
-    if not counts.where(F.col("n") > hot).limit(1).count():
-        return spans
-    strings = materialize(cut(going.where("hot")).select("doc_id", "uid", "start", "bytes").mapInArrow(_strings(width), "hash binary, doc_id long, uid long, start int"), "strings")
+    parts, spans = [cut(going.where("not hot"))], []
+    if counts.where(F.col("n") > hot).limit(1).count():
+        rows = materialize(cut(going.where("hot")), "hot-segments")
+        # Of equal segments the first stands for all, and the later ones are covered whole.
+        first = materialize(rows.groupBy("least", "bytes").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "hot-copies")
+        rows = materialize(hot_cold_join(rows, first, ["least", "bytes"], "n", F.struct("uid", "start")).withColumn("late", F.coalesce(F.col("first") < place, F.lit(False))).drop("first", "n"), "hot-segments")
+        spans.append(rows.where("late").select("doc_id", "uid", F.col("start").alias("from"), (F.col("start") + F.octet_length("bytes")).cast("int").alias("to")))
+        rows = rows.where("not late").drop("late")
+        release(spark)
+        for level in range(1, LEVELS + 1):
+            split = materialize(rows.mapInArrow(_deeper(width, gram, level), "doc_id long, uid long, start int, least long, within boolean, bytes binary, times long"), "deeper")
+            counts = materialize(split.groupBy("least").agg(F.sum("times").alias("n")).where("n > 1"), "deeper-minimizers")
+            kept = materialize(hot_cold_join(split, counts, ["least"], "n", F.struct("uid", "start")).where("n is not null"), "deeper-segments").drop("times")
+            parts.append(kept.where(F.col("n") <= hot).drop("n"))
+            rows = kept.where(F.col("n") > hot).drop("n")
+            release(spark)
+            if not counts.where(F.col("n") > hot).limit(1).count():
+                break
+        else:
+            strings = materialize(rows.select("doc_id", "uid", "start", "bytes").mapInArrow(_strings(width), "hash binary, doc_id long, uid long, start int"), "strings")
+            first = materialize(strings.groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "first-strings")
+            late = hot_cold_join(strings, first, ["hash"], "n", F.struct("uid", "start")).where(F.col("first") < place)
+            spans.append(late.select("doc_id", "uid", F.col("start").alias("from"), (F.col("start") + width).alias("to")))
+    dealt = reduce(DataFrame.union, parts).repartition("least").sortWithinPartitions("least", F.coalesce("doc_id", F.lit(LAST)), "start")
+    ordered = materialize(dealt.mapInArrow(_shard(width), "doc_id long, uid long, `from` int, `to` int"), "spans")
+    discard(going)
     release(spark)
-    first = materialize(strings.groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "first-strings")
-    late = hot_cold_join(strings, first, ["hash"], "n", F.struct("uid", "start")).where(F.col("first") < place)
-    return spans.union(late.select("doc_id", "uid", F.col("start").alias("from"), (F.col("start") + width).alias("to")))
+    return reduce(DataFrame.union, spans, ordered)
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -319,6 +363,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
     groups = materialize(groups, "copies")
     marks = hot_cold_join(rows.select("doc_id", "uid", "digest"), groups, ["digest"], "n", F.col("uid"))
     marks = materialize(marks.where(F.col("first") < order).select("uid").distinct().withColumn("copy", F.lit(True)), "marks")
+    discard(groups)
     release(spark)
     originals = rows.select("doc_id", "uid", "text").where(long_enough).join(marks, "uid", "left_anti")
     spans = repeated_spans(originals, width, gram, hot)

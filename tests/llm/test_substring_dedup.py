@@ -34,10 +34,27 @@ def test_brute_force(make_docs, corpus, hot):
     assert sorted(map(tuple, substring_dedup(make_docs(corpus), hot=hot).collect()), key=repr) == brute(corpus)
 
 
+def test_levels_of_hot_minimizers(make_docs, monkeypatch):
+    """A line that many texts share among others of their own, and a text that repeats itself."""
+    import quillspark.llm.substring_dedup as module
+
+    rng = random.Random(6)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(180))
+    rows = [(i, "".join(rng.choice("uvwxyz ") for _ in range(130)) + line + "".join(rng.choice("uvwxyz ") for _ in range(130))) for i in range(40)]
+    rows += [(100, line * 4), (101, (line[:60] + "-") * 9), (102, rows[5][1][40:])]
+    for levels in (1, 6):
+        monkeypatch.setattr(module, "LEVELS", levels)
+        assert sorted(map(tuple, substring_dedup(make_docs(rows), hot=8).collect()), key=repr) == brute(rows)
+
+
 def test_segments_cover_every_string():
     rng = random.Random(1)
     texts = [bytes(rng.choice(b"ab ") for _ in range(n)) for n in (0, 99, 100, 500, 1000)]
-    owner, at, count, _, times = segments(texts)
+    for level in (0, 1, 5):
+        check_cover(texts, *segments(texts, level=level))
+
+
+def check_cover(texts, owner, at, count, _, times):
     for i, t in enumerate(texts):
         found = [k for o, a, n in zip(owner, at, count) if o == i for k in range(a, a + n)]
         assert found == list(range(max(0, len(t) - WIDTH + 1)))
