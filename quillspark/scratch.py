@@ -43,7 +43,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by :func:`materialize` that nothing reads any more: what was made of them is written by now."""
+    for df in tables:
+        drop_scratch(df.sparkSession, df.scratch_path)
 
 
 def drop_scratch(spark: SparkSession, path: str) -> None:
