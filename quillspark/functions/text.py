@@ -31,14 +31,17 @@ def normalize_exact(text: Column) -> Column:
 
 
 def tokenize(text: Column) -> Column:
-    """Tokens in order: runs of CJK characters as overlapping bigrams, other words in lower case; over 40 bytes are left out."""
+    """Tokens in order: runs of CJK characters as overlapping bigrams, other words in lower case; 40 bytes or more are left out."""
+    # Without CJK, and without letters whose lower case depends on what is around them, words need not be cut one by one.
+    plain = F.regexp_extract_all(F.lower(text), F.lit("[\\p{IsAlphabetic}\\p{N}]+"), F.lit(0))
     runs = F.regexp_extract_all(text, F.lit(f"[{CJK}]+|[\\p{{IsAlphabetic}}\\p{{N}}&&[^{CJK}]]+"), F.lit(0))
 
     def cut(run: Column) -> Column:
         bigrams = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
         return F.when(run.rlike(f"^[{CJK}]") & (F.length(run) > 1), bigrams).otherwise(F.array(F.lower(run)))
 
-    return F.filter(F.flatten(F.transform(runs, cut)), lambda t: F.octet_length(t) <= LONGEST_TOKEN)
+    tokens = F.when(text.rlike(f"[{CJK}\\x{{0130}}\\x{{03A3}}]"), F.flatten(F.transform(runs, cut))).otherwise(plain)
+    return F.filter(tokens, lambda t: F.octet_length(t) < LONGEST_TOKEN)
 
 
 def excerpt_around(text: Column, start: Column, length: Column, limit: int = EXCERPT) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark.functions.text import normalize_exact, normalize_newlines, tokenize
+from quillspark.scratch import materialize
 
 K1, B = 1.2, 0.75
 
@@ -33,8 +34,9 @@ def body_search(docs: DataFrame, query: str, limit: int) -> DataFrame:
     """Documents by their best unit: unit with the literal query first, then BM25, then the earlier unit.
 
     A unit matches with at least ``required_tokens`` distinct query tokens.
-    Corpus statistics come from one pass over all units, in which only counts of
-    the query's tokens are kept, so nothing but matching units is shuffled.
+    Texts are tokenised in one pass, which writes each unit's length and counts of
+    the query's tokens; statistics and scores are taken from these, and nothing
+    but matching units is shuffled.
     Columns: doc_id, line, literal, score, rank.  A query without tokens finds nothing.
     """
     spark = docs.sparkSession
@@ -44,6 +46,7 @@ def body_search(docs: DataFrame, query: str, limit: int) -> DataFrame:
     cut = units(docs).withColumn("tokens", tokenize(F.col("text")))
     counts = [_times("tokens", q).alias(f"tf{i}") for i, q in enumerate(tokens)]
     rows = cut.select("doc_id", "line", F.contains(F.col("text"), F.lit(query)).alias("literal"), F.size("tokens").alias("n"), *counts)
+    rows = materialize(rows, "unit-counts")
     stats = rows.agg(F.count(F.lit(1)).alias("units"), F.sum("n").alias("total"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(tokens))))
     s = stats.first()  # one row
     average = (s["total"] or 0) / max(1, s["units"])

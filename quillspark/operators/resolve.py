@@ -37,11 +37,12 @@ def effective_state(observations: DataFrame) -> DataFrame:
     """resource, presence, integrity_conflict from observations (resource, seq, observed_at, presence, coverage, version, digest).
 
     The latest observation counts, of equals the later row; an absence seen with
-    partial or query coverage proves nothing.
+    partial or query coverage proves nothing.  Two digests of one version are a
+    conflict; observations without a version say nothing of that.
     """
     latest = observations.groupBy("resource").agg(F.max_by(F.struct("presence", "coverage"), F.struct("observed_at", "seq")).alias("o"))
     presence = F.when((F.col("o.presence") == "Absent") & F.col("o.coverage").isin("PartialEnumeration", "QueryResult"), "Unknown").otherwise(F.col("o.presence"))
-    digests = observations.where("digest is not null").groupBy("resource", "version").agg(F.count_distinct("digest").alias("n"))
+    digests = observations.where("digest is not null and version is not null").groupBy("resource", "version").agg(F.count_distinct("digest").alias("n"))
     broken = digests.groupBy("resource").agg(F.bool_or(F.col("n") > 1).alias("integrity_conflict"))
     return latest.join(broken, "resource", "left").select("resource", presence.alias("presence"), F.coalesce("integrity_conflict", F.lit(False)).alias("integrity_conflict"))
 

@@ -88,7 +88,7 @@ def compare_rows(base: list[list[str]], target: list[list[str]]) -> list[tuple[s
     """(kind, row, column, base, target) of two tables; kind "Ambiguous" stands alone."""
     if base == target:
         return []
-    if len({tuple(r) for r in base}) < len(base) or len({tuple(r) for r in target}) < len(target):
+    if len(base) == len(target) and any(len({tuple(r) for r in rows}) < len(rows) for rows in (base, target)):
         return [("Ambiguous", -1, -1, None, None)]
     if sorted(base) == sorted(target):
         return [("Reordered", i, target.index(r), None, None) for i, r in enumerate(base) if target.index(r) != i]

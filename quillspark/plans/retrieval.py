@@ -32,12 +32,12 @@ _F.frame("str01_normalize_unit_text", lambda spark, d: _documents(spark, d).sele
          "SELECT doc_id, sha256(nfc_normalize(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)))) AS digest FROM documents")
 _F.frame("str02_normalize_exact", lambda spark, d: table(spark, d, "part").select("p_partkey", tx.normalize_exact(F.concat(F.lit("\t "), F.upper("p_name"), F.lit(" \n"))).alias("name")),
          "SELECT p_partkey, lower(p_name) AS name FROM part")
-_F.frame("str03_tokenize", lambda spark, d: _documents(spark, d).select("doc_id", F.sha2(F.array_join(tx.tokenize(F.col("text")), " "), 256).alias("digest"), F.size(tx.tokenize(F.col("text"))).alias("n_tokens")),
-         f"SELECT doc_id, sha256(array_to_string(t, ' ')) AS digest, CAST(len(t) AS INT) AS n_tokens FROM (SELECT doc_id, list_filter({_TOKENS.format('text')}, lambda x: strlen(x) <= 40) AS t FROM documents) x")
+_F.frame("str03_tokenize", lambda spark, d: _documents(spark, d).select("doc_id", tx.tokenize(F.col("text")).alias("t")).select("doc_id", F.sha2(F.array_join("t", " "), 256).alias("digest"), F.size("t").alias("n_tokens")),
+         f"SELECT doc_id, sha256(array_to_string(t, ' ')) AS digest, CAST(len(t) AS INT) AS n_tokens FROM (SELECT doc_id, list_filter({_TOKENS.format('text')}, lambda x: strlen(x) < 40) AS t FROM documents) x")
 _F.frame("str04_cjk_class", lambda spark, d: spark.range(1).select(F.explode(F.array(*map(F.lit, ("東京都", "F1（エフ・ワン）", "法第2条", "Hello, World")))).alias("s")).select("s", F.array_join(tx.tokenize(F.col("s")), ",").alias("tokens")),
          "SELECT * FROM (VALUES ('東京都', '東京,京都'), ('F1（エフ・ワン）', 'f1,エフ,ワン'), ('法第2条', '法第,2,条'), ('Hello, World', 'hello,world')) v(s, tokens)")
-_F.same("str05_legacy_analyzer", "SELECT doc_id, size(filter(split(lower(text), '[^\\\\p{L}\\\\p{N}]+'), x -> x <> '' AND octet_length(x) <= 40)) AS n_tokens FROM documents",
-        f"SELECT doc_id, CAST(len(list_filter({_TOKENS.format('text')}, lambda x: strlen(x) <= 40)) AS INT) AS n_tokens FROM documents")
+_F.same("str05_legacy_analyzer", "SELECT doc_id, size(filter(split(lower(text), '[^\\\\p{L}\\\\p{N}]+'), x -> x <> '' AND octet_length(x) < 40)) AS n_tokens FROM documents",
+        f"SELECT doc_id, CAST(len(list_filter({_TOKENS.format('text')}, lambda x: strlen(x) < 40)) AS INT) AS n_tokens FROM documents")
 _F.frame("str06_excerpt_around", lambda spark, d: _documents(spark, d).select("doc_id", tx.excerpt_around(F.col("text"), F.locate("the", F.col("text")), F.lit(3)).alias("excerpt")).where(F.locate("the", F.col("excerpt")) > 0),
          "SELECT doc_id, e AS excerpt FROM (SELECT doc_id, trim(regexp_replace(substr(text, CAST(greatest(1, least(strpos(text, 'the') - 158, length(text) - 319)) AS INT), 320), '[[:cntrl:]]', ' ', 'g')) AS e FROM documents) x WHERE strpos(e, 'the') > 0")
 _F.frame("str07_longest_query_part", lambda spark, d: _documents(spark, d).select("doc_id", tx.longest_query_part(F.col("text"), "thanedble the").alias("part")),
@@ -60,7 +60,7 @@ _F.frame("str18_unit_id", lambda spark, d: lexical.units(_documents(spark, d)).s
 _QT = ["and", "attion", "to", "thanedble"]
 _TF = ", ".join(f"len(list_filter(t, lambda x: x = '{q}')) AS tf{i}" for i, q in enumerate(_QT))
 _SCORE = " + ".join(f"ln(1 + (n_units - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)) * tf{i} * 2.2::DOUBLE / (tf{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / average))" for i in range(4))
-_BODY = f"""WITH u AS (SELECT doc_id, line, contains(text, '{BODY_QUERY}') AS literal, list_filter({_TOKENS.format('text')}, lambda x: strlen(x) <= 40) AS t FROM ({_UNITS}) x),
+_BODY = f"""WITH u AS (SELECT doc_id, line, contains(text, '{BODY_QUERY}') AS literal, list_filter({_TOKENS.format('text')}, lambda x: strlen(x) < 40) AS t FROM ({_UNITS}) x),
 r AS (SELECT doc_id, line, literal, len(t) AS n, {_TF} FROM u),
 s AS (SELECT count(*)::DOUBLE AS n_units, sum(n)::DOUBLE / count(*) AS average, {", ".join(f"count(*) FILTER (WHERE tf{i} > 0)::DOUBLE AS df{i}" for i in range(4))} FROM r),
 m AS (SELECT doc_id, line, literal, round({_SCORE}, 6) AS score FROM r, s WHERE {" + ".join(f"(CASE WHEN tf{i} > 0 THEN 1 ELSE 0 END)" for i in range(4))} >= 3),

@@ -23,6 +23,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 DYNAMIC, DEEPEST = frozenset(("script", "style", "template")), 256
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+SLIDES = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
+RELATIONS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 DRAWING = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 
 
@@ -40,11 +42,13 @@ def _locator(**parts) -> str:
 
 
 def decode(raw: bytes, charset: str) -> str:
-    """Strict UTF-8 (a mark at the start is dropped) or Windows-31J."""
+    """Strict UTF-8 (a mark at the start is dropped) or Windows-31J; no other."""
+    if charset not in ("utf-8", "windows-31j"):
+        raise ReaderFailure("UnsupportedEncoding")
     try:
         return raw.decode("utf-8").removeprefix("﻿") if charset == "utf-8" else raw.decode("cp932")
     except UnicodeDecodeError:
-        raise ReaderFailure("MalformedEncoding") from None
+        raise ReaderFailure("UnsupportedEncoding") from None
 
 
 def read_text(raw: bytes, charset: str = "utf-8") -> Iterator[Unit]:
@@ -104,8 +108,13 @@ class _Body(HTMLParser):
 
 
 def read_html(raw: bytes, charset: str = "utf-8") -> Iterator[Unit]:
+    """Text below body; where its tag is left out, it begins after the head."""
+    text = decode(raw, charset)
+    if not re.search(r"(?i)<body[\s/>]", text):
+        head = re.search(r"(?is)^.*?</head\s*>|^\s*(?:<!doctype[^>]*>)?\s*(?:<html[^>]*>)?", text)
+        text = text[: head.end()] + "<body>" + text[head.end() :]
     parser = _Body()
-    parser.feed(decode(raw, charset))
+    parser.feed(text)
     parser.close()
     yield from parser.units
 
@@ -124,6 +133,18 @@ def _xml(archive: zipfile.ZipFile, name: str):
         raise ReaderFailure("Corrupt") from None
 
 
+def _parts_in_order(archive: zipfile.ZipFile, folder: str, main: str, tag: str, pattern: str) -> list[str]:
+    """Parts in the order in which the main part refers to them; by number where it does not say."""
+    numbered = sorted((n for n in archive.namelist() if re.fullmatch(f"{folder}/{pattern}", n)), key=lambda n: int(re.search(r"(\d+)\.xml", n)[1]))
+    relations = f"{folder}/_rels/{main}.rels"
+    if not {f"{folder}/{main}", relations} <= set(archive.namelist()):
+        return numbered
+    targets = {r.get("Id"): (r.get("Target") or "").lstrip("/") for r in _xml(archive, relations)}
+    named = [targets.get(item.get(f"{RELATIONS}id"), "") for item in _xml(archive, f"{folder}/{main}").iter(tag)]
+    found = [t if t.startswith(folder + "/") else f"{folder}/{t}" for t in named if t]
+    return [n for n in found if n in archive.namelist()] if found else numbered
+
+
 def read_docx(raw: bytes) -> Iterator[Unit]:
     """Main body by block, and by row and cell in tables."""
     body = _xml(_archive(raw), "word/document.xml").find(f"{WORD}body")
@@ -144,8 +165,7 @@ def read_xlsx(raw: bytes) -> Iterator[Unit]:
     shared = []
     if "xl/sharedStrings.xml" in archive.namelist():
         shared = ["".join(t.text or "" for t in s.iter(f"{SHEET}t")) for s in _xml(archive, "xl/sharedStrings.xml").findall(f"{SHEET}si")]
-    sheets = sorted((n for n in archive.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"(\d+)\.xml", n)[1]))
-    for s, name in enumerate(sheets):
+    for s, name in enumerate(_parts_in_order(archive, "xl", "workbook.xml", f"{SHEET}sheet", r"worksheets/sheet(\d+)\.xml")):
         for cell in _xml(archive, name).iter(f"{SHEET}c"):
             value = cell.find(f"{SHEET}v")
             if cell.find(f"{SHEET}f") is not None:
@@ -153,20 +173,23 @@ def read_xlsx(raw: bytes) -> Iterator[Unit]:
             inline = "".join(t.text or "" for t in cell.iter(f"{SHEET}t"))
             text = inline or (value.text or "" if value is not None else "")
             if cell.get("t") == "s" and value is not None:
+                if not (value.text or "").isdecimal() or int(value.text) >= len(shared):
+                    raise ReaderFailure("Corrupt")
                 text = shared[int(value.text)]
-            letters, digits = re.fullmatch(r"([A-Z]+)(\d+)", cell.get("r")).groups()
+            place = re.fullmatch(r"([A-Z]+)(\d+)", cell.get("r") or "")
+            if place is None:
+                raise ReaderFailure("Corrupt")
             column = 0
-            for letter in letters:
+            for letter in place[1]:
                 column = column * 26 + ord(letter) - 64
             if text:
-                yield "Cell", _locator(sheet=s, row=int(digits) - 1, column=column - 1), normalize(text)
+                yield "Cell", _locator(sheet=s, row=int(place[2]) - 1, column=column - 1), normalize(text)
 
 
 def read_pptx(raw: bytes) -> Iterator[Unit]:
-    """Paragraphs of the slides in order of their numbers."""
+    """Paragraphs of the slides in the presentation's order."""
     archive = _archive(raw)
-    slides = sorted((n for n in archive.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"(\d+)\.xml", n)[1]))
-    for s, name in enumerate(slides):
+    for s, name in enumerate(_parts_in_order(archive, "ppt", "presentation.xml", f"{SLIDES}sldId", r"slides/slide(\d+)\.xml")):
         for p, paragraph in enumerate(_xml(archive, name).iter(f"{DRAWING}p")):
             text = normalize("".join(t.text or "" for t in paragraph.iter(f"{DRAWING}t")))
             if text:

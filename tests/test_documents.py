@@ -28,6 +28,26 @@ def test_html():
             list(readers.read_html(f"<body>{bad}</body>".encode()))
 
 
+def test_what_the_readers_refuse_and_allow():
+    with pytest.raises(ReaderFailure, match="UnsupportedEncoding"):
+        list(readers.read_text("éabc".encode("latin-1"), "latin-1"))
+    assert [u[2] for u in readers.read_html(b"<title>t</title></head><p>a</p>")] == ["a"]
+    assert [u[2] for u in readers.read_html(b"<!DOCTYPE html><html><p>b<p>c")] == ["b", "c"]
+
+
+def test_parts_in_order_and_broken_cells():
+    s, r = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    sheet = lambda cell: f"<worksheet {s}><sheetData><row>{cell}</row></sheetData></worksheet>"
+    book = {"xl__workbook_dot_xml": f'<workbook {s} {r}><sheets><sheet r:id="b"/><sheet r:id="a"/></sheets></workbook>',
+            "xl___rels__workbook_dot_xml_dot_rels": '<Relationships><Relationship Id="a" Target="worksheets/sheet1.xml"/><Relationship Id="b" Target="/xl/worksheets/sheet2.xml"/></Relationships>'}
+    one, two = ('<c r="A1" t="inlineStr"><is><t>%s</t></is></c>' % t for t in ("one", "two"))
+    raw = archive(xl__worksheets__sheet1_dot_xml=sheet(one), xl__worksheets__sheet2_dot_xml=sheet(two), **book)
+    assert [(u[1], u[2]) for u in readers.read_leaf("xlsx", raw)] == [('{"sheet":0,"row":0,"column":0}', "two"), ('{"sheet":1,"row":0,"column":0}', "one")]
+    for cell in ("<c><v>1</v></c>", '<c r="A1" t="s"><v>7</v></c>'):
+        with pytest.raises(ReaderFailure, match="Corrupt"):
+            readers.read_leaf("xlsx", archive(xl__worksheets__sheet1_dot_xml=sheet(cell)))
+
+
 def archive(**members):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -66,6 +86,8 @@ def test_tables():
     assert versions.compare_rows(rows, [*rows[:1], ["b", "9"], *rows[2:]]) == [("Modified", 1, 1, "2", "9")]
     assert [c[0] for c in versions.compare_rows(rows, rows[:2])] == ["Removed"]
     assert versions.compare_rows([["a"], ["a"]], rows)[0][0] == "Ambiguous"
+    assert versions.compare_rows([["a"], ["a"]], [["a"], ["b"]])[0][0] == "Ambiguous"
+    assert [c[0] for c in versions.compare_rows([["a"], ["a"]], [["a"], ["a"], ["b"]])] == ["Added"]
     assert versions.unique_delimiter("a,b\nc,d") == "," and versions.unique_delimiter("a;b,c\nd;e,f") is None
 
 

@@ -87,3 +87,20 @@ def test_hot_cold_join(spark):
     for hot in (0, 1, 10):
         got = {r.i: (r.k, r.v) for r in hot_cold_join(left, dim, ["k"], "n", F.col("i"), hot_keys=hot).collect()}
         assert len(got) == 54 and all(got[i] == ("h", "H") for i in range(50)) and [got[i][1] for i in range(50, 54)] == ["A", "B", None, None]
+
+
+def test_tokens_of_the_longest_length(spark):
+    from quillspark.functions.text import tokenize
+
+    rows = spark.createDataFrame([(n, "x" * n + " Aé ΑΣ'Β İz 東京都a") for n in (38, 39, 40, 41)], "n long, s string").select("n", tokenize(F.col("s")).alias("t")).collect()
+    assert {r.n: len(r.t[0]) if r.t[0][0] == "x" else 0 for r in rows} == {38: 38, 39: 39, 40: 0, 41: 0}
+    fast = spark.createDataFrame([("It's AÉ 12b ﬁx",)], "s string").select(tokenize(F.col("s")).alias("t")).first().t
+    assert fast == ["it", "s", "aé", "12b", "ﬁx"]
+
+
+def test_digests_without_a_version_do_not_conflict(spark):
+    from quillspark.operators.resolve import effective_state
+
+    rows = [("a", 1, 1, "Present", "CompleteEnumeration", None, "x"), ("a", 2, 2, "Present", "CompleteEnumeration", None, "y"), ("b", 1, 1, "Present", "CompleteEnumeration", "v", "x"), ("b", 2, 2, "Present", "CompleteEnumeration", "v", "y")]
+    out = effective_state(spark.createDataFrame(rows, "resource string, seq int, observed_at int, presence string, coverage string, version string, digest string")).collect()
+    assert {r.resource: r.integrity_conflict for r in out} == {"a": False, "b": True}
