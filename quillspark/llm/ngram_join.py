@@ -240,7 +240,8 @@ def _sets_of(docs: DataFrame, copies: DataFrame, keys: DataFrame, width: int) ->
 def _dense_units(dense: DataFrame, block: int) -> DataFrame:
     """Pairs of blocks of large buckets (band, bucket, size, key, leader): the largest leader's classes meet the others, and these each other."""
     led = dense.where("leader is not null").groupBy("band", "bucket", "leader").agg(F.count(F.lit(1)).alias("n"))
-    most = led.groupBy("band", "bucket").agg(F.max(F.struct("n", "leader")).alias("m")).select("band", "bucket", F.col("m.n").alias("n_main"), F.col("m.leader").alias("main"))
+    # A leader of less than a block is not worth blocks of its own.
+    most = led.where(F.col("n") >= block).groupBy("band", "bucket").agg(F.max(F.struct("n", "leader")).alias("m")).select("band", "bucket", F.col("m.n").alias("n_main"), F.col("m.leader").alias("main"))
     # The largest buckets are few: a bucket has more than ``block`` classes.
     sizes = dense.groupBy("band", "bucket").agg(F.max("size").alias("size")).join(most, ["band", "bucket"], "left")
     sizes = materialize(sizes.select("band", "bucket", "main", F.coalesce("n_main", F.lit(0)).alias("n_main"), "size"), "dense")
