@@ -86,7 +86,8 @@ def evolve_islands(spark, counts: dict[int, int], size: int, islands: int = ISLA
     schema = "island int, own boolean, genome string, bins long, filled double, history string"
     state = spark.range(islands).selectExpr("cast(id as int) as island", "true as own", "cast(null as string) as genome", "0L as bins", "0D as filled", "'' as history")
     for number in range(epochs):
-        state = state.groupBy("island").applyInPandas(epoch(number), schema)
+        # Dealt to so many tasks, as the few rows would else be put into one.
+        state = state.repartition(islands, "island").groupBy("island").applyInPandas(epoch(number), schema)
     best = state.orderBy(F.col("bins").desc(), F.col("filled").desc(), "genome").select("genome", "history").first()
     return _load(best["genome"]), [int(n) for n in best["history"].split()]
 
