@@ -66,10 +66,35 @@ s AS (SELECT count(*)::DOUBLE AS n_units, sum(n)::DOUBLE / count(*) AS average,
 m AS (SELECT doc_id, line, literal, round({_SCORE}, 6) AS score FROM r, s WHERE {" + ".join(f"(CASE WHEN tf{i} > 0 THEN 1 ELSE 0 END)" for i in range(4))} >= 3),
 b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY literal DESC, score DESC, line) = 1)
 SELECT doc_id, CAST(line AS INT) AS line, literal, score, CAST(row_number() OVER (ORDER BY literal DESC, score DESC, doc_id) AS INT) AS rank FROM b ORDER BY rank LIMIT 50"""
-_F.frame("lex04_body_search", lambda spark, d: lexical.body_search(_documents(spark, d), BODY_QUERY, 50), _BODY)
-_F.frame("evl04_bm25_ranking", lambda spark, d: lexical.body_search(_documents(spark, d), BODY_QUERY, 10).select("doc_id", "rank"), f"SELECT doc_id, rank FROM ({_BODY}) z WHERE rank <= 10")
-_F.frame("lex05_empty_query", lambda spark, d: lexical.body_search(_documents(spark, d), "--- !!", 50).agg(F.count(F.lit(1)).alias("hits")), "SELECT 0::BIGINT AS hits")
-_F.frame("lex06_body_hit", lambda spark, d: lexical.body_search(_documents(spark, d), BODY_QUERY, 50).select("doc_id", F.when(F.col("literal"), F.col("line")).alias("unit_ref")), f"SELECT doc_id, CASE WHEN literal THEN line END AS unit_ref FROM ({_BODY}) z")
+#: One index for each session and state of the table's files: later queries read what the first one built.
+_indexes: dict[tuple, lexical.Index] = {}
+
+
+def document_index(spark: SparkSession, d: str) -> lexical.Index:
+    """The index of ``documents``, built once for the files as they are now."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    files = []
+    for name in sorted(_documents(spark, d).inputFiles()):
+        path = fs.Path(spark._jvm.java.net.URI(name))
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        files.append((name, status.getLen(), status.getModificationTime()))
+    key = (spark.sparkContext.applicationId, tuple(files))
+    if key not in _indexes:
+        _indexes[key] = lexical.build_index(_documents(spark, d))
+    return _indexes[key]
+
+
+def search_documents(spark: SparkSession, d: str, query: str, limit: int) -> DataFrame:
+    """Body search over ``documents`` by its index."""
+    return lexical.search_index(spark, document_index(spark, d), query, limit)
+
+
+_F.frame("lex07_index_postings", lambda spark, d: spark.read.parquet(document_index(spark, d).path + "/postings").groupBy("token").agg(F.count(F.lit(1)).alias("n_units"), F.sum("tf").alias("n_tokens")),
+         f"SELECT token, count(DISTINCT (doc_id, line)) AS n_units, count(*) AS n_tokens FROM (SELECT doc_id, line, unnest(list_filter({_TOKENS.format('text')}, lambda x: strlen(x) < 40)) AS token FROM ({_UNITS}) u) t GROUP BY token")
+_F.frame("lex04_body_search", lambda spark, d: search_documents(spark, d, BODY_QUERY, 50), _BODY)
+_F.frame("evl04_bm25_ranking", lambda spark, d: search_documents(spark, d, BODY_QUERY, 10).select("doc_id", "rank"), f"SELECT doc_id, rank FROM ({_BODY}) z WHERE rank <= 10")
+_F.frame("lex05_empty_query", lambda spark, d: search_documents(spark, d, "--- !!", 50).agg(F.count(F.lit(1)).alias("hits")), "SELECT 0::BIGINT AS hits")
+_F.frame("lex06_body_hit", lambda spark, d: search_documents(spark, d, BODY_QUERY, 50).select("doc_id", F.when(F.col("literal"), F.col("line")).alias("unit_ref")), f"SELECT doc_id, CASE WHEN literal THEN line END AS unit_ref FROM ({_BODY}) z")
 _F.frame("mth04_min_token_share", lambda spark, d: table(spark, d, "nation").select((F.col("n_nationkey") + 1).alias("n")).select("n", F.when(F.col("n") <= 2, F.col("n")).otherwise(F.floor((3 * F.col("n") + 4) / 5).cast("int")).alias("required")), "SELECT n_nationkey + 1 AS n, CAST(CASE WHEN n_nationkey + 1 <= 2 THEN n_nationkey + 1 ELSE ceil((n_nationkey + 1) * 3 / 5.0) END AS INT) AS required FROM nation")
 
 
@@ -160,9 +185,12 @@ _F.same("grf09_incidence_index", "SELECT l_suppkey AS resource, 'supplier' AS ro
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     """Two ranked lists of documents: by length, and by number of lines."""
     rows = _documents(spark, d).select(F.col("doc_id").alias("id"), "n_chars", F.size(F.split("text", "\n")).alias("lines"))
-    one = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n_chars").desc(), "id"))).where("rank <= 60").select(F.lit(1).alias("list_no"), "rank", "id")
-    two = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.col("lines").desc(), "id"))).where("rank <= 60").select(F.lit(2).alias("list_no"), "rank", "id")
-    return one.union(two)
+
+    def first(number: int, by: str) -> DataFrame:
+        order = [F.col(by).desc(), F.col("id")]
+        return rows.orderBy(*order).limit(60).select(F.lit(number).alias("list_no"), F.row_number().over(Window.orderBy(*order)).alias("rank"), "id")
+
+    return first(1, "n_chars").union(first(2, "lines"))
 
 
 _HITS = """(SELECT 1 AS list_no, rank, id FROM (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents) a WHERE rank <= 60
@@ -176,4 +204,4 @@ _F.same("fed04_group_key", "SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THE
 _RRF = "SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INT) AS position FROM (SELECT id, round(sum({0} / (60 + rank)), 9) AS score FROM {1} GROUP BY id) x"
 _F.frame("fed06_rrf", lambda spark, d: federation.reciprocal_rank_fusion(_hits(spark, d)), _RRF.format("1.0::DOUBLE", _HITS))
 _F.frame("fed07_weighted_rrf", lambda spark, d: federation.reciprocal_rank_fusion(_hits(spark, d), weights={1: 0.7, 2: 0.3}), _RRF.format("(CASE list_no WHEN 1 THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END)", _HITS))
-_F.frame("fed08_gated_concat", lambda spark, d: federation.priority_concat(_hits(spark, d)).where("position <= 70").select("id", "position"), f"SELECT id, position FROM (SELECT id, CAST(row_number() OVER (ORDER BY f, id) AS INT) AS position FROM (SELECT id, min(list_no * 1000 + rank) AS f FROM {_HITS} GROUP BY id) x) y WHERE position <= 70")
+_F.frame("fed08_gated_concat", lambda spark, d: federation.priority_concat(_hits(spark, d), limit=70).select("id", "position"), f"SELECT id, position FROM (SELECT id, CAST(row_number() OVER (ORDER BY f, id) AS INT) AS position FROM (SELECT id, min(list_no * 1000 + rank) AS f FROM {_HITS} GROUP BY id) x) y WHERE position <= 70")
