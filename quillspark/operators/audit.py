@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Domain tags; the first one's SHA-256 is the link before the first.
 GENESIS = "kp-audit-chain-genesis-v1"
@@ -34,21 +39,33 @@ def chain_step(previous: Column, seq: Column, event: Column, digest: Column) ->
 
 
 def build_chain(events: DataFrame, log: str = "log") -> DataFrame:
-    """(log, seq, event, digest, chain) of events (log, seq, event, envelope): links in order, a fold for each log.
+    """(log, seq, event, digest, chain) of events (log, seq, event, envelope): links in order of seq, event and digest.
 
     A link depends on the one before it, so a log is one unit of work; logs are
-    what the chain is parallel over.
+    what the chain is parallel over.  Rows of a log pass by in batches and only
+    its last link is held, so a long log needs no more memory than a short one.
+    A row with a null or an event that is no UUID has no link, nor has any after it.
     """
-    rows = events.select(log, F.struct(F.col("seq"), F.col("event"), envelope_digest(F.col("envelope")).alias("digest")).alias("r"))
-    grouped = rows.groupBy(log).agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    start = F.array(F.struct(F.lit(0).cast("long").alias("seq"), F.lit("").alias("event"), F.lit("").alias("digest"), F.sha2(F.lit(GENESIS), 256).alias("chain")))
-
-    def add(links: Column, r: Column) -> Column:
-        last = F.element_at(links, -1)["chain"]
-        return F.concat(links, F.array(F.struct(r["seq"].cast("long").alias("seq"), r["event"].alias("event"), r["digest"].alias("digest"), chain_step(last, r["seq"], r["event"], r["digest"]).alias("chain"))))
-
-    folded = grouped.select(log, F.explode(F.slice(F.aggregate("rs", start, add), 2, F.size("rs"))).alias("l"))
-    return folded.select(log, "l.seq", "l.event", "l.digest", "l.chain")
+    digest = envelope_digest(F.col("envelope"))
+    body = F.concat(_eight_bytes(F.col("seq")), uuid_bytes(F.col("event")), F.unhex(digest))
+    rows = events.select(F.col(log), F.col("seq").cast("long").alias("seq"), "event", digest.alias("digest"), body.alias("body"))
+    ordered = rows.repartition(log).sortWithinPartitions(log, "seq", "event", "digest")
+    out = StructType([*rows.drop("body").schema.fields, StructField("chain", StringType())])
+    return ordered.mapInArrow(_links, out)
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the chain to rows (log, seq, event, digest, body) that come log by log, in order."""
+    tag, start = STEP.encode(), hashlib.sha256(GENESIS.encode()).digest()
+    at, last, begun = None, None, False
+    for batch in batches:
+        found = []
+        for log, body in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist()):
+            if not begun or log != at:
+                at, last, begun = log, start, True
+            last = None if body is None or last is None else hashlib.sha256(tag + last + body).digest()
+            found.append(None if last is None else last.hex())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.string())], names=[*batch.schema.names[:4], "chain"])
 
 
 def verify_chain(rows: DataFrame, log: str = "log") -> DataFrame:
