@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from quillspark.operators.ranking import ranked
+
 
 class FederationError(ValueError):
     """Lists that must not be merged."""
@@ -17,10 +19,13 @@ def validate_lists(hits: DataFrame) -> None:
         raise FederationError("a hit of another source")
 
 
-def priority_concat(hits: DataFrame, group: str = "id") -> DataFrame:
-    """Groups in order of their first hit, by list and then rank: group, position, hits."""
+def priority_concat(hits: DataFrame, group: str = "id", limit: int | None = None) -> DataFrame:
+    """Groups in order of their first hit, by list and then rank: group, position, hits; the first ``limit``, or all."""
     groups = hits.groupBy(group).agg(F.min(F.struct("list_no", "rank")).alias("first"), F.count(F.lit(1)).alias("hits"))
-    return groups.select(group, F.row_number().over(Window.orderBy("first", group)).cast("int").alias("position"), "hits")
+    if limit is None:
+        return ranked(groups, [F.col("first"), F.col(group)], "position").select(group, F.col("position").cast("int").alias("position"), "hits")
+    first = groups.orderBy("first", group).limit(limit)
+    return first.select(group, F.row_number().over(Window.orderBy("first", group)).cast("int").alias("position"), "hits")
 
 
 def reciprocal_rank_fusion(hits: DataFrame, k: int = 60, weights: dict[int, float] | None = None, limit: int | None = None) -> DataFrame:
@@ -32,7 +37,8 @@ def reciprocal_rank_fusion(hits: DataFrame, k: int = 60, weights: dict[int, floa
     scored = best.groupBy("id").agg(F.round(F.sum(weight / (k + F.col("rank"))), 9).alias("score"))
     if limit is not None:
         scored = scored.orderBy(F.col("score").desc(), "id").limit(limit)
-    return scored.withColumn("position", F.row_number().over(Window.orderBy(F.col("score").desc(), "id")).cast("int"))
+        return scored.withColumn("position", F.row_number().over(Window.orderBy(F.col("score").desc(), "id")).cast("int"))
+    return ranked(scored, [F.col("score").desc(), F.col("id")], "position").withColumn("position", F.col("position").cast("int"))
 
 
 def associations(evidence: DataFrame) -> DataFrame:

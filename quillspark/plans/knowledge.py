@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quillspark.operators import audit, resolve
+from quillspark.operators import audit, containment, ranking, resolve
 from quillspark.plans.binding import Family
 from quillspark.tables import table
 
@@ -139,9 +139,10 @@ _F.same("jsn03_typeof", "SELECT event_id, schema_of_variant(variant_get(parse_js
 
 # Diff of consecutive turns of a conversation, by lines.
 _PAIRS = "SELECT a.conv_id, a.turn, a.text AS base, b.text AS target FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1"
+# Equal lines at the start and the end: the place of the first unequal pair, in one pass.
 _F.same("dif02_text_diff", f"""SELECT conv_id, turn, CASE WHEN base = target THEN 'None' WHEN nb - p - s = 1 AND nt - p - s = 1 THEN 'Modified' WHEN nb - p - s = 0 THEN 'Added' WHEN nt - p - s = 0 THEN 'Removed' ELSE 'AmbiguousAlignment' END AS change, p AS prefix, s AS suffix FROM (
-  SELECT *, least(size(filter(sequence(0, least(nb, nt) - p), k -> forall(sequence(1, k), j -> j = 0 OR k = 0 OR element_at(b, -j) = element_at(t, -j)))) - 1, least(nb, nt) - p) AS s FROM (
-  SELECT *, size(filter(sequence(0, least(nb, nt)), k -> k = 0 OR slice(b, 1, k) = slice(t, 1, k))) - 1 AS p FROM (SELECT *, split(base, '\\n') AS b, split(target, '\\n') AS t, size(split(base, '\\n')) AS nb, size(split(target, '\\n')) AS nt FROM ({_PAIRS}) x) y) z) w""".replace("forall(sequence(1, k), j -> j = 0 OR k = 0 OR element_at(b, -j) = element_at(t, -j))", "k = 0 OR slice(b, nb - k + 1, k) = slice(t, nt - k + 1, k)"),
+  SELECT *, CAST(coalesce(nullif(array_position(zip_with(slice(reverse(b), 1, least(nb, nt) - p), slice(reverse(t), 1, least(nb, nt) - p), (x, y) -> x = y), false), 0) - 1, least(nb, nt) - p) AS INT) AS s FROM (
+  SELECT *, CAST(coalesce(nullif(array_position(zip_with(slice(b, 1, least(nb, nt)), slice(t, 1, least(nb, nt)), (x, y) -> x = y), false), 0) - 1, least(nb, nt)) AS INT) AS p FROM (SELECT *, split(base, '\\n') AS b, split(target, '\\n') AS t, size(split(base, '\\n')) AS nb, size(split(target, '\\n')) AS nt FROM ({_PAIRS}) x) y) z) w""",
         f"""SELECT conv_id, turn, CASE WHEN base = target THEN 'None' WHEN nb - p - s = 1 AND nt - p - s = 1 THEN 'Modified' WHEN nb - p - s = 0 THEN 'Added' WHEN nt - p - s = 0 THEN 'Removed' ELSE 'AmbiguousAlignment' END AS change, CAST(p AS INT) AS prefix, CAST(s AS INT) AS suffix FROM (
   SELECT *, len(list_filter(range(0, least(nb, nt) - p + 1), lambda k: k = 0 OR b[nb - k + 1:nb] = t[nt - k + 1:nt])) - 1 AS s FROM (
   SELECT *, len(list_filter(range(0, least(nb, nt) + 1), lambda k: k = 0 OR b[1:k] = t[1:k])) - 1 AS p FROM (SELECT *, string_split(base, chr(10)) AS b, string_split(target, chr(10)) AS t, len(string_split(base, chr(10))) AS nb, len(string_split(target, chr(10))) AS nt FROM ({_PAIRS}) x) y) z) w""")
@@ -197,16 +198,20 @@ _F.same("rte01_source_routing", "SELECT source, n, CASE WHEN source = 'src0' THE
 _F.same("rte02_retriever_planning", "SELECT source, kind, priority FROM (SELECT DISTINCT source FROM documents) s JOIN (SELECT 'directory' AS kind, 1 AS priority UNION ALL SELECT 'structured', 2 UNION ALL SELECT 'lexical', 3 UNION ALL SELECT 'vector', 4 UNION ALL SELECT 'graph', 5) k ON priority <= 3 OR source IN ('src0', 'src1')")
 _F.same("rte03_action_state", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'RouteUnresolved' WHEN doc_id % 5 = 0 THEN 'AdapterMissing' WHEN doc_id % 3 = 0 THEN 'MissingInput' ELSE 'Planned' END AS state FROM documents")
 _F.same("rte04_presence", "SELECT doc_id, CASE WHEN n_chars > 0 THEN 'Present' WHEN doc_id % 2 = 0 THEN 'Absent' ELSE 'Unknown' END AS presence FROM documents")
-_F.same("exe01_visible_ranking", "SELECT doc_id, CAST(row_number() OVER (ORDER BY n_chars DESC, doc_id) AS INT) AS rank FROM documents WHERE source NOT IN ('src2', 'src4')")
-_F.same("qry01_search_route", "SELECT doc_id, rank, total > 10 AS more FROM (SELECT doc_id, CAST(row_number() OVER (ORDER BY n_chars DESC, doc_id) AS INT) AS rank, count(*) OVER () AS total FROM documents WHERE contains(text, 'attion') AND source <> 'src3') x WHERE rank <= 10")
+_F.frame("exe01_visible_ranking", lambda spark, d: ranking.ranked(table(spark, d, "documents").where("source NOT IN ('src2', 'src4')").select("doc_id", "n_chars"), [F.col("n_chars").desc(), F.col("doc_id")]).select("doc_id", F.col("rank").cast("int").alias("rank")),
+         "SELECT doc_id, CAST(row_number() OVER (ORDER BY n_chars DESC, doc_id) AS INT) AS rank FROM documents WHERE source NOT IN ('src2', 'src4')")
+_F.same("qry01_search_route", "WITH f AS (SELECT doc_id, n_chars FROM documents WHERE contains(text, 'attion') AND source <> 'src3' ORDER BY n_chars DESC, doc_id LIMIT 11) SELECT doc_id, rank, (SELECT count(*) FROM f) > 10 AS more FROM (SELECT doc_id, CAST(row_number() OVER (ORDER BY n_chars DESC, doc_id) AS INT) AS rank FROM f) x WHERE rank <= 10",
+        "SELECT doc_id, rank, total > 10 AS more FROM (SELECT doc_id, CAST(row_number() OVER (ORDER BY n_chars DESC, doc_id) AS INT) AS rank, count(*) OVER () AS total FROM documents WHERE contains(text, 'attion') AND source <> 'src3') x WHERE rank <= 10")
 _F.same("qry04_source_browse", "SELECT source, count(*) AS documents FROM documents WHERE source > 'src1' GROUP BY source ORDER BY source LIMIT 10")
 _F.same("qry05_resource_read", "SELECT doc_id, source, lang, n_chars FROM documents WHERE doc_id = 42")
 _F.same("qry06_public_projection", "SELECT source, count(*) AS qualified, least(count(*), 50) AS shown, CASE WHEN count(*) > 50 THEN 'Bounded' ELSE 'Complete' END AS completeness FROM documents GROUP BY source")
 _F.same("qry07_absence_proof", "SELECT source, CASE WHEN max(CASE WHEN contains(text, 'idiot') THEN 1 ELSE 0 END) = 1 THEN 'Present' WHEN min(n_chars) > 0 THEN 'Absent' ELSE 'Unknown' END AS verdict FROM documents GROUP BY source")
-_F.same("qry08_exact_text_evidence", "SELECT item_id, count(doc_id) AS supporting FROM benchmark LEFT JOIN documents ON contains(documents.text, benchmark.text) GROUP BY item_id")
+_F.frame("qry08_exact_text_evidence", lambda spark, d: table(spark, d, "benchmark").select("item_id").join(containment.containing(table(spark, d, "benchmark"), table(spark, d, "documents")), "item_id", "left").groupBy("item_id").agg(F.count("doc_id").alias("supporting")),
+         "SELECT item_id, count(doc_id) AS supporting FROM benchmark LEFT JOIN documents ON contains(documents.text, benchmark.text) GROUP BY item_id")
 _F.same("knw09_materialization", "SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'Denied' WHEN p_size < 5 THEN 'MetadataOnly' WHEN p_size < 25 THEN 'Probed' ELSE 'Materialized' END AS state FROM part")
 _F.same("knw11_next_action", "SELECT c_nationkey, c_custkey AS action FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment = 'BUILDING' DESC, c_acctbal DESC, c_custkey) AS rn FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 400000)) x WHERE rn = 1")
-_F.same("knw12_cost_order", "SELECT p_partkey, CAST(row_number() OVER (ORDER BY CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END, p_size, p_retailprice, p_partkey) AS INT) AS position FROM part")
+_F.frame("knw12_cost_order", lambda spark, d: ranking.ranked(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), [F.when(F.col("p_partkey") % 5 == 0, 1).otherwise(0), F.col("p_size"), F.col("p_retailprice"), F.col("p_partkey")], "position").select("p_partkey", F.col("position").cast("int").alias("position")),
+         "SELECT p_partkey, CAST(row_number() OVER (ORDER BY CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END, p_size, p_retailprice, p_partkey) AS INT) AS position FROM part")
 _F.same("knw13_context_compile", "SELECT source, CAST(sum(octet_length(text)) AS BIGINT) AS bytes, sum(octet_length(text)) <= 200000 AS within FROM documents WHERE doc_id % 3 = 0 GROUP BY source", "SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS bytes, sum(strlen(text)) <= 200000 AS within FROM documents WHERE doc_id % 3 = 0 GROUP BY source")
 _F.same("knw15_bind_if_absent", "SELECT l_partkey, CASE WHEN count(DISTINCT l_suppkey) > 1 THEN 'conflict' WHEN count(*) > 1 THEN 'unchanged' ELSE 'inserted' END AS outcome FROM lineitem GROUP BY l_partkey")
 _F.same("knw17_unit_validation", "SELECT conv_id, count(*) = max(turn) + 1 AND min(turn) = 0 AS contiguous, count(*) = count(DISTINCT turn) AS distinct_ordinals FROM conversations GROUP BY conv_id")

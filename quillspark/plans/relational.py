@@ -7,11 +7,21 @@ and customer are a folder hierarchy; market segments are access scopes.
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, functions as F
+
+from quillspark.operators import ranking
 from quillspark.plans.binding import Family
+from quillspark.tables import table
 
 _F = Family()
 QUERIES, ORACLES = _F.queries, _F.oracles
 
+
+def _numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Rows with their position in ``order`` as int."""
+    return ranking.ranked(df, order, name).withColumn(name, F.col(name).cast("int"))
+
+
 #: Versions of a document, numbered in order.
 VERSIONS = """SELECT o_custkey AS document_id, o_orderkey AS version_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS version_no,
   CASE o_orderstatus WHEN 'F' THEN 'WITHDRAWN' WHEN 'O' THEN 'PUBLISHED' ELSE 'WORKING' END AS state, o_orderdate AS created_at, o_totalprice AS bytes FROM orders"""
@@ -69,7 +79,7 @@ _F.same("agg09_grouped_grants", """SELECT c_mktsegment AS subject, array_join(ar
 _F.same("agg10_class_histogram", f"""SELECT s AS class, count(*) AS n, s IN ('dead_letter', 'in_flight') AS alarm FROM (SELECT {_EVENT_STATE} AS s FROM events) x GROUP BY s""")
 _F.same("agg11_report_rollup", """SELECT event_type AS category, count(*) AS scenarios, count(*) FILTER (WHERE value > 20) AS failures, count(*) FILTER (WHERE value <= 20) AS passes FROM events GROUP BY event_type""")
 _F.same("agg12_grouping_sets", """SELECT l_returnflag AS system, l_linestatus AS split, coalesce(CAST(l_linenumber AS VARCHAR(20)), 'ALL') AS type, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus, l_linenumber), (l_returnflag, l_linestatus))""")
-_F.same("agg13_mean_percentile", """SELECT event_type, round(avg(value), 6) AS mean, element_at(array_sort(collect_list(value)), CAST(floor(count(*) / 2) AS INT) + 1) AS p50, element_at(array_sort(collect_list(value)), CAST(least(count(*) - 1, floor(CAST(0.95 AS DOUBLE) * count(*))) AS INT) + 1) AS p95 FROM events GROUP BY event_type""",
+_F.frame("agg13_mean_percentile", lambda spark, d: ranking.order_statistics(table(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95}).withColumn("mean", F.round("mean", 6)),
         """SELECT event_type, round(avg(value), 6) AS mean, list_sort(list(value))[CAST(floor(count(*) / 2) AS INT) + 1] AS p50, list_sort(list(value))[CAST(least(count(*) - 1, floor(CAST(0.95 AS DOUBLE) * count(*))) AS INT) + 1] AS p95 FROM events GROUP BY event_type""")
 _F.same("agg14_bounded_count_per_parent", """SELECT n_nationkey, CAST(coalesce(sum(least(n, 5)), 0) AS BIGINT) AS attention_count FROM nation LEFT JOIN (SELECT c_nationkey, o_custkey, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'P' GROUP BY c_nationkey, o_custkey) x ON c_nationkey = n_nationkey GROUP BY n_nationkey""")
 _F.same("agg15_dedup_bound", """SELECT code, blocking, rn FROM (SELECT code, blocking, CAST(row_number() OVER (ORDER BY first_at) AS INT) AS rn FROM (SELECT event_type AS code, event_id % 3 = 0 AS blocking, min(event_id) AS first_at FROM events GROUP BY event_type, event_id % 3 = 0) g) x WHERE rn <= 64""")
@@ -77,21 +87,27 @@ _F.same("agg16_ordered_set_digest", """SELECT user_id, sha2(array_join(transform
 
 _F.same("win00_row_number_backfill", f"""WITH v AS ({VERSIONS}), p AS (SELECT *, CAST(row_number() OVER (PARTITION BY document_id ORDER BY created_at, version_no, version_id) AS BIGINT) AS major_no FROM v WHERE state <> 'WORKING')
 SELECT document_id, version_id, major_no, row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, major_no DESC) = 1 AS last_known FROM p""")
-_F.same("win01_dense_output_rank", """SELECT doc_id, CAST(row_number() OVER (ORDER BY n_chars DESC, doc_id) AS INT) AS rank FROM documents WHERE source <> 'src3'""")
+_F.frame("win01_dense_output_rank", lambda spark, d: _numbered(table(spark, d, "documents").where("source <> 'src3'").select("doc_id", "n_chars"), [F.col("n_chars").desc(), F.col("doc_id")], "rank").select("doc_id", "rank"),
+         """SELECT doc_id, CAST(row_number() OVER (ORDER BY n_chars DESC, doc_id) AS INT) AS rank FROM documents WHERE source <> 'src3'""")
 _F.same("win02_best_per_parent", """SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END DESC, l_extendedprice DESC, l_linenumber, l_partkey) AS rn FROM lineitem) x WHERE rn = 1""")
 _F.same("win03_best_tier_per_id", """SELECT id, tier, score FROM (SELECT id, tier, score, row_number() OVER (PARTITION BY id ORDER BY tier, score DESC) AS rn FROM (SELECT l_partkey AS id, l_linenumber AS tier, l_quantity AS score FROM lineitem) h) x WHERE rn = 1""")
 _F.same("win04_first_occurrence", """SELECT l_partkey AS group_key, min(l_orderkey * 10 + l_linenumber) AS pos, count(*) AS hits FROM lineitem GROUP BY l_partkey""")
 _F.same("win05_max_by_priority", """SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE c_mktsegment WHEN 'MACHINERY' THEN 0 WHEN 'BUILDING' THEN 1 ELSE 2 END, c_acctbal DESC, c_custkey) AS rn FROM customer) x WHERE rn = 1""")
 _F.same("win06_latest_revision", """SELECT l_partkey, major, minor FROM (SELECT l_partkey, l_linenumber AS major, l_orderkey AS minor, row_number() OVER (PARTITION BY l_partkey ORDER BY l_linenumber DESC, l_orderkey DESC) AS rn FROM lineitem) x WHERE rn = 1""")
-_F.same("win07_prev_row_link", """SELECT event_id, coalesce(event_id = lag(event_id) OVER (ORDER BY event_id) + 1, event_id = 0) AS linked FROM events""")
+_F.frame("win07_prev_row_link", lambda spark, d: ranking.previous(table(spark, d, "events").select("event_id"), [F.col("event_id")], "event_id", "before").select("event_id", F.coalesce(F.col("event_id") == F.col("before") + 1, F.col("event_id") == 0).alias("linked")),
+         """SELECT event_id, coalesce(event_id = lag(event_id) OVER (ORDER BY event_id) + 1, event_id = 0) AS linked FROM events""")
 
 _F.same("top01_top_k_by_score", """SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 40""")
-_F.same("top02_oversample_refill", """SELECT doc_id AS parent, n_chars AS score, total <= 640 AS exhausted FROM (SELECT doc_id, n_chars, count(*) OVER () AS total, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rn FROM documents) x WHERE rn <= 10""")
+# The first rows are taken before they are numbered, and the total is counted apart.
+_F.same("top02_oversample_refill", "SELECT doc_id AS parent, n_chars AS score, (SELECT count(*) FROM documents) <= 640 AS exhausted FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10",
+        """SELECT doc_id AS parent, n_chars AS score, total <= 640 AS exhausted FROM (SELECT doc_id, n_chars, count(*) OVER () AS total, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rn FROM documents) x WHERE rn <= 10""")
 _F.same("top04_unit_to_parent_fold", """SELECT conv_id AS parent, turn AS unit FROM (SELECT conv_id, turn, len, row_number() OVER (PARTITION BY conv_id ORDER BY len DESC, turn) AS rn FROM (SELECT conv_id, turn, length(text) AS len FROM conversations) t) x WHERE rn = 1 ORDER BY len DESC, conv_id LIMIT 20""")
 _F.same("top05_keyset_page", f"""WITH v AS ({VERSIONS}) SELECT version_id, created_at, version_no FROM v WHERE created_at > TIMESTAMP '1996-01-01 00:00:00' OR created_at = TIMESTAMP '1996-01-01 00:00:00' AND version_id > 100 ORDER BY created_at, version_id LIMIT 21""")
 _F.same("top06_nulls_last_offset", """SELECT event_id, occurred_at FROM (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE ts END AS occurred_at FROM events) x ORDER BY occurred_at DESC NULLS LAST, event_id LIMIT 50 OFFSET 25""")
-_F.same("top07_binary_sort", """SELECT name, rn FROM (SELECT p_name AS name, CAST(row_number() OVER (ORDER BY p_name) AS INT) AS rn FROM (SELECT DISTINCT p_name FROM part) p) x""")
-_F.same("top10_slice_page", """SELECT doc_id, rank, total > 40 AS more FROM (SELECT doc_id, CAST(row_number() OVER (ORDER BY n_chars DESC, doc_id) AS INT) AS rank, count(*) OVER () AS total FROM documents) x WHERE rank BETWEEN 21 AND 40""")
+_F.frame("top07_binary_sort", lambda spark, d: _numbered(table(spark, d, "part").select(F.col("p_name").alias("name")).distinct(), [F.col("name")], "rn").select("name", "rn"),
+         """SELECT name, rn FROM (SELECT p_name AS name, CAST(row_number() OVER (ORDER BY p_name) AS INT) AS rn FROM (SELECT DISTINCT p_name FROM part) p) x""")
+_F.same("top10_slice_page", "SELECT doc_id, rank, (SELECT count(*) FROM documents) > 40 AS more FROM (SELECT doc_id, CAST(row_number() OVER (ORDER BY n_chars DESC, doc_id) AS INT) AS rank FROM (SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 40) f) x WHERE rank BETWEEN 21 AND 40",
+        """SELECT doc_id, rank, total > 40 AS more FROM (SELECT doc_id, CAST(row_number() OVER (ORDER BY n_chars DESC, doc_id) AS INT) AS rank, count(*) OVER () AS total FROM documents) x WHERE rank BETWEEN 21 AND 40""")
 _F.same("top11_claim_order", f"""SELECT event_id, ts FROM events WHERE event_type <> 'purchase' AND event_type <> 'error' ORDER BY ts, event_id LIMIT 32""")
 
 _F.same("set01_union_all_history", """SELECT kind, id, occurred_at FROM (SELECT 'published' AS kind, o_orderkey AS id, o_orderdate AS occurred_at FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'withdrawn', o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'working', o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'shipped', l_orderkey, l_shipdate FROM lineitem WHERE l_linenumber = 1
