@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quillspark.scratch import materialize
+
 
 class BudgetExceeded(RuntimeError):
     """A traversal went over its budget; results are never cut instead."""
@@ -31,7 +33,8 @@ def traverse(participants: DataFrame, relations: DataFrame, seeds: DataFrame, pl
     ``participants``: relation_id, role, resource; ``relations``: relation_id,
     relation_type.  With ``visible`` (resource), relations with a hidden
     participant are not followed.  A hop that follows more than
-    ``max_relations`` relations raises.
+    ``max_relations`` relations raises.  What a hop follows is written once: the
+    budget is counted from it, and the next hop does not repeat the earlier ones.
     """
     if not plan:
         raise ValueError("a plan needs hops")
@@ -44,7 +47,7 @@ def traverse(participants: DataFrame, relations: DataFrame, seeds: DataFrame, pl
     for hop in plan:
         near = usable.where((F.col("relation_type") == hop.relation_type) & (F.col("role") == hop.from_role)).select("relation_id", "resource").distinct()
         far = usable.where((F.col("relation_type") == hop.relation_type) & (F.col("role") == hop.to_role)).select("relation_id", F.col("resource").alias("next")).distinct()
-        followed = frontier.join(near, "resource")
+        followed = materialize(frontier.join(near, "resource"), "hop")
         if followed.select("relation_id").distinct().limit(max_relations + 1).count() > max_relations:
             raise BudgetExceeded(f"more than {max_relations} relations in a hop")
         step = F.concat("path", F.array(F.col("relation_id").cast("string"), F.col("next").cast("string")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark.functions.text import normalize_exact, normalize_newlines, tokenize
 from quillspark.scratch import materialize, scratch_path
+from quillspark.tables import spread
 
 K1, B = 1.2, 0.75
 
@@ -91,7 +92,7 @@ def build_index(docs: DataFrame, path: str | None = None) -> Index:
     """Cut all texts into tokens once; ``path`` is a new folder, by default in the scratch folder."""
     path = path or scratch_path(docs.sparkSession, "lexical-index")
     spark = docs.sparkSession
-    cut = units(docs).withColumn("tokens", tokenize(F.col("text")))
+    cut = units(spread(docs)).withColumn("tokens", tokenize(F.col("text")))
     cut.select(F.monotonically_increasing_id().alias("unit"), "doc_id", "line", "text", "tokens", F.size("tokens").alias("n")).write.parquet(f"{path}/units")
     rows = spark.read.parquet(f"{path}/units")
     postings = rows.select("unit", "n", F.explode("tokens").alias("token")).groupBy("token", "unit").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("n").alias("n"))

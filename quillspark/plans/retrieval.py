@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from quillspark.functions import text as tx
 from quillspark.operators import federation, graph, lexical, vector
 from quillspark.plans.binding import Family
-from quillspark.tables import table
+from quillspark.tables import spread, table
 
 _F = Family()
 QUERIES, ORACLES = _F.queries, _F.oracles
@@ -32,7 +32,7 @@ _F.frame("str01_normalize_unit_text", lambda spark, d: _documents(spark, d).sele
          "SELECT doc_id, sha256(nfc_normalize(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)))) AS digest FROM documents")
 _F.frame("str02_normalize_exact", lambda spark, d: table(spark, d, "part").select("p_partkey", tx.normalize_exact(F.concat(F.lit("\t "), F.upper("p_name"), F.lit(" \n"))).alias("name")),
          "SELECT p_partkey, lower(p_name) AS name FROM part")
-_F.frame("str03_tokenize", lambda spark, d: _documents(spark, d).select("doc_id", tx.tokenize(F.col("text")).alias("t")).select("doc_id", F.sha2(F.array_join("t", " "), 256).alias("digest"), F.size("t").alias("n_tokens")),
+_F.frame("str03_tokenize", lambda spark, d: spread(_documents(spark, d).select("doc_id", "text")).select("doc_id", tx.tokenize(F.col("text")).alias("t")).select("doc_id", F.sha2(F.array_join("t", " "), 256).alias("digest"), F.size("t").alias("n_tokens")),
          f"SELECT doc_id, sha256(array_to_string(t, ' ')) AS digest, CAST(len(t) AS INT) AS n_tokens FROM (SELECT doc_id, list_filter({_TOKENS.format('text')}, lambda x: strlen(x) < 40) AS t FROM documents) x")
 _F.frame("str04_cjk_class", lambda spark, d: spark.range(1).select(F.explode(F.array(*map(F.lit, ("東京都", "F1（エフ・ワン）", "法第2条", "Hello, World")))).alias("s")).select("s", F.array_join(tx.tokenize(F.col("s")), ",").alias("tokens")),
          "SELECT * FROM (VALUES ('東京都', '東京,京都'), ('F1（エフ・ワン）', 'f1,エフ,ワン'), ('法第2条', '法第,2,条'), ('Hello, World', 'hello,world')) v(s, tokens)")

@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from quillspark.operators import audit, containment, lexical, ranking
+from quillspark.tables import spread
 
 
 def test_ranked_and_previous(spark):
@@ -68,3 +69,15 @@ def test_chain_of_long_and_broken_logs(spark):
                 last = None if event is None else hashlib.sha256(audit.STEP.encode() + last + seq.to_bytes(8, "big") + bytes.fromhex(event) + hashlib.sha256(envelope.encode()).digest()).digest()
             links[log, seq] = last.hex() if last else None
     assert got == links
+
+
+def test_small_tables_are_spread_and_large_ones_stay(spark, tmp_path):
+    path = f"file://{tmp_path}/one"
+    spark.range(100).coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(df).count() == 100
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
+    try:
+        assert "Repartition" not in spread(spark.read.parquet(path))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
