@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillspark.llm.components import connected_components
 from quillspark.llm.shingles import mix, shingle_set
-from quillspark.llm.tokens import forget
+from quillspark.llm.tokens import forget, handing_back
 from quillspark.operators.skew import column_of, hot_cold_join, numbered, renamed
 from quillspark.scratch import discard, materialize, release
 
@@ -215,7 +215,7 @@ def _sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 hashes.append(band_hashes(s, bands, rows, family).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "id", "key", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, id long, key binary, bands array<long>")
+    return docs.mapInArrow(handing_back(run), "doc_id long, id long, key binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -226,7 +226,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             sets = [shingle_set(text.as_py() or "", width) for text in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(map(set_key, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "grams"])
 
-    return docs.mapInArrow(run, "key binary, grams binary")
+    return docs.mapInArrow(handing_back(run), "key binary, grams binary")
 
 
 def _sets_of(docs: DataFrame, copies: DataFrame, keys: DataFrame, width: int) -> DataFrame:
@@ -294,7 +294,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
         asked = asked.union(heads.select("band", "bucket", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("member"), "key"))
         asked = asked.join(_sets_of(docs, copies, dense.select("key").distinct(), width), "key").select("band", "bucket", "salt", "member", "key", "grams")
         asked = asked.repartition("band", "bucket", "salt").sortWithinPartitions("band", "bucket", "salt", "member")
-        led = materialize(asked.mapInArrow(_near_leader(threshold), "key binary, leader binary"), "led")
+        led = materialize(asked.mapInArrow(handing_back(_near_leader(threshold)), "key binary, leader binary"), "led")
         groups = led.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
         groups = materialize(groups, "leaders")
         sure = hot_cold_join(led, groups, ["leader"], "n", F.col("key")).select("key", (F.col("n") - 1).alias("links"), F.col("leader").alias("root"))
@@ -305,7 +305,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
         copies = copies.withColumn("leader", F.lit(None).cast("binary"))
     release(spark)
     signed = met.where(F.col("size") <= block).join(copies.select("key", "leader", "bands"), "key").select("band", "bucket", "size", "key", "leader", "bands")
-    need = signed.repartition("band", "bucket").sortWithinPartitions("band", "bucket").mapInArrow(_prune, "band int, bucket long, size long, key binary")
+    need = signed.repartition("band", "bucket").sortWithinPartitions("band", "bucket").mapInArrow(handing_back(_prune), "band int, bucket long, size long, key binary")
     need = need.select(F.lit(0).alias("low"), F.lit(0).alias("high"), "band", "bucket", F.lit(0).alias("block"), "key")
     if led is not None:
         need = need.union(_dense_units(dense.join(led, "key", "left"), block))
@@ -315,7 +315,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     sets = _sets_of(docs, copies, need.select("key").distinct(), width)
     units = need.join(copies.select("key", "leader", "bands"), "key").join(sets, "key").select("low", "high", "band", "bucket", "block", "key", "leader", "bands", "grams")
     units = units.repartition("band", "bucket", "low", "high").sortWithinPartitions("low", "high", "band", "bucket")
-    links = units.mapInArrow(_verify(threshold), "key binary, links long, root binary")
+    links = units.mapInArrow(handing_back(_verify(threshold)), "key binary, links long, root binary")
     links = materialize(links.union(sure) if sure is not None else links, "links")
     discard(need)
     release(spark)

@@ -22,7 +22,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quillspark.llm import grouping_ga as ga
-from quillspark.llm.tokens import encoder
+from quillspark.llm.tokens import encoder, handing_back
 from quillspark.scratch import materialize
 
 _log = logging.getLogger(__name__)
@@ -48,7 +48,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, kind: str, size: int, end_id:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
 
     rows = docs.select(docs["doc_id"].cast("long"), docs["text"])
-    return rows.mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(handing_back(pieces), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def _dump(genome: ga.Genome) -> str:

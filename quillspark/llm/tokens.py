@@ -9,11 +9,12 @@ between Unicode versions, go through the library whole.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -32,6 +33,8 @@ REMEMBERED, LONGEST = 500_000, 40
 TOGETHER = 500_000
 
 _encoders: dict[tuple[str, str], "Encoder"] = {}
+#: The C library that this process runs on; only some have malloc_trim.
+_libc = ctypes.CDLL(None)
 
 
 class _Pieces(dict):
@@ -109,12 +112,31 @@ class Encoder:
 def encoder(path: str, kind: str) -> Encoder:
     """This worker's encoder; it lives as long as the worker."""
     if (path, kind) not in _encoders:
+        forget()
         _encoders[path, kind] = Encoder(path, kind)
     return _encoders[path, kind]
 
 
+def hand_back() -> None:
+    """Return this worker's free memory to the system: workers wait for later stages, and allocators keep what they once had."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def forget() -> None:
     """Drop what this worker's encoders remember; workers are shared by stages, and the next may need the memory."""
-    if _encoders:
-        _encoders.clear()
-        gc.collect()
+    _encoders.clear()
+    hand_back()
+
+
+def handing_back(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """``run`` over batches, after which the worker returns its free memory."""
+    def whole(batches: Iterable) -> Iterator:
+        yield from run(batches)
+        hand_back()
+
+    return whole

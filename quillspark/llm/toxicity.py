@@ -15,7 +15,6 @@ class; its size is bounded by that sample.  Scoring reads whole texts.
 
 from __future__ import annotations
 
-import gc
 import re
 from collections import Counter
 from collections.abc import Iterable
@@ -278,7 +277,7 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", name: str
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, name])
         # The scorer's memory refers to itself, and the worker lives on.
         del scorer
-        gc.collect()
+        forget()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
