@@ -143,26 +143,18 @@ def _lineitem_graph(spark: SparkSession, d: str, lines: str) -> tuple[DataFrame,
     return participants, participants.select("relation_id").distinct().withColumn("relation_type", F.lit("supply"))
 
 
-def _paths(spark: SparkSession, d: str, visible: bool = False, lines: str = "l_linenumber = 1 and l_orderkey % 5 = 0") -> DataFrame:
+def _paths(spark: SparkSession, d: str, visible: bool = False, lines: str = "true") -> DataFrame:
     participants, relations = _lineitem_graph(spark, d, lines)
     seeds = spark.createDataFrame([("s1",), ("s2",)], "resource string")
     seen = participants.select("resource").distinct().where("resource not like 'p%7'") if visible else None
     return graph.traverse(participants, relations, seeds, [graph.Hop("supply", "supplier", "part"), graph.Hop("supply", "part", "supplier")], seen)
 
 
-_L = "(SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 5 = 0)"
-_PATHS = f"SELECT 's' || a.l_suppkey AS start, 's' || b.l_suppkey AS resource FROM {_L} a JOIN {_L} b ON a.l_partkey = b.l_partkey WHERE a.l_suppkey IN (1, 2)"
+_PATHS = "WITH l AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem) SELECT 's' || a.l_suppkey AS start, 's' || b.l_suppkey AS resource FROM l a JOIN l b ON a.l_partkey = b.l_partkey WHERE a.l_suppkey IN (1, 2)"
 _F.frame("grf01_traversal", lambda spark, d: _paths(spark, d).select("start", "resource"), _PATHS)
 _F.frame("grf02_traversal_by_end", lambda spark, d: _paths(spark, d).groupBy("resource").agg(F.count(F.lit(1)).alias("paths")), f"SELECT resource, count(*) AS paths FROM ({_PATHS}) x GROUP BY resource")
 _F.frame("grf03_visibility", lambda spark, d: _paths(spark, d, True).select("start", "resource"), _PATHS + " AND a.l_partkey % 10 <> 7")
 _F.frame("grf04_group_paths", lambda spark, d: graph.group_paths(_paths(spark, d)).select("resource", "paths"), f"SELECT resource, count(*) AS paths FROM ({_PATHS}) x GROUP BY resource")
-# The same over all line items; the SQL of the four above is kept as given, with its cut.
-_ALL_PATHS = "WITH l AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem) SELECT 's' || a.l_suppkey AS start, 's' || b.l_suppkey AS resource FROM l a JOIN l b ON a.l_partkey = b.l_partkey WHERE a.l_suppkey IN (1, 2)"
-_F.frame("grf01_traversal_all_lines", lambda spark, d: _paths(spark, d, lines="true").select("start", "resource"), _ALL_PATHS)
-_F.frame("grf02_traversal_by_end_all_lines", lambda spark, d: _paths(spark, d, lines="true").groupBy("resource").agg(F.count(F.lit(1)).alias("paths")), f"SELECT resource, count(*) AS paths FROM ({_ALL_PATHS}) x GROUP BY resource")
-_F.frame("grf03_visibility_all_lines", lambda spark, d: _paths(spark, d, True, "true").select("start", "resource"), _ALL_PATHS + " AND a.l_partkey % 10 <> 7")
-_F.frame("grf04_group_paths_all_lines", lambda spark, d: graph.group_paths(_paths(spark, d, lines="true")).select("resource", "paths"), f"SELECT resource, count(*) AS paths FROM ({_ALL_PATHS}) x GROUP BY resource")
-_F.same("grf06_returned_path_check", f"SELECT a.l_orderkey, a.l_suppkey = 1 OR a.l_suppkey = 2 AS from_seed, a.l_partkey = b.l_partkey AS connected FROM {_L} a JOIN {_L} b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey".replace(") a JOIN", ") a JOIN"))
 
 
 def _checked_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -171,11 +163,11 @@ def _checked_paths(spark: SparkSession, d: str) -> DataFrame:
     kind = F.substring(F.get("path", F.lit(2)), 2, 20).cast("long") % 5
     put = lambda i, value: F.transform("path", lambda x, k: F.when(k == i, value).otherwise(x))
     path = F.when(kind == 1, put(0, "s-1")).when(kind == 3, put(1, "none")).when(kind == 4, put(2, "p-1")).otherwise(F.col("path"))
-    paths = _paths(spark, d, lines="true").select(F.when(kind == 1, "s-1").otherwise(F.col("start")).alias("start"), F.when(kind == 2, "s-1").otherwise(F.col("resource")).alias("resource"), path.alias("path"))
+    paths = _paths(spark, d).select(F.when(kind == 1, "s-1").otherwise(F.col("start")).alias("start"), F.when(kind == 2, "s-1").otherwise(F.col("resource")).alias("resource"), path.alias("path"))
     return graph.check_paths(paths, participants, relations, spark.createDataFrame([("s1",), ("s2",)], "resource string"), [graph.Hop("supply", "supplier", "part"), graph.Hop("supply", "part", "supplier")])
 
 
-_F.frame("grf06_returned_path_check_all_lines", lambda spark, d: _checked_paths(spark, d).groupBy("problem").agg(F.count(F.lit(1)).alias("paths")),
+_F.frame("grf06_returned_path_check", lambda spark, d: _checked_paths(spark, d).groupBy("problem").agg(F.count(F.lit(1)).alias("paths")),
          "WITH l AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem) SELECT CASE a.l_partkey % 5 WHEN 1 THEN 'seed' WHEN 2 THEN 'endpoint' WHEN 3 THEN 'relation' WHEN 4 THEN 'participants' END AS problem, count(*) AS paths FROM l a JOIN l b ON a.l_partkey = b.l_partkey WHERE a.l_suppkey IN (1, 2) GROUP BY 1")
 _F.same("grf07_pattern_lookup", "SELECT DISTINCT l_orderkey AS relation_id FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey = 3")
 _F.same("grf08_relation_validation", "SELECT l_orderkey, count(*) >= 2 AS enough, bool_and(l_returnflag <> '') AS roles_ok FROM lineitem GROUP BY l_orderkey")

@@ -18,7 +18,7 @@ def test_traversal_follows_every_line_item(spark, small):
     for _, part, supplier in lines:
         of_part.setdefault(part, []).append(supplier)
     want = Counter((f"s{a}", f"s{b}") for _, part, a in lines if a in (1, 2) for b in of_part[part])
-    got = Counter((r.start, r.resource) for r in catalog.queries()["grf01_traversal_all_lines"](spark, small).collect())
+    got = Counter((r.start, r.resource) for r in catalog.queries()["grf01_traversal"](spark, small).collect())
     assert got == want and sum(want.values()) > catalog.queries()["grf01_traversal"](spark, small).count()
 
 
@@ -29,7 +29,7 @@ def test_diffed_tables_hold_every_customer(spark, small):
 
 
 def test_locators_are_resolved_in_all_items(spark, small):
-    got = {r.item for r in catalog.queries()["src12_resolve_locators_all_items"](spark, small).collect()}
+    got = {r.item for r in catalog.queries()["src12_resolve_locators"](spark, small).collect()}
     assert max(got) >= 20 and got == {r.doc_id for r in table(spark, small, "documents").collect() if r.text.split("\n")[0]}
 
 
@@ -43,7 +43,7 @@ def test_bootstrap_draws_all_documents(spark, small):
 
 def test_evaluation_counts_grow_with_the_input(spark, small):
     larger = small.replace("0.001", "0.01")
-    signs, summary = (catalog.queries()[name](spark, larger) for name in ("evl06_sign_test_all_documents", "evl02_summarize_every_20th"))
+    signs, summary = (catalog.queries()[name](spark, larger) for name in ("evl06_sign_test", "evl02_summarize"))
     assert sum(r.n for r in signs.collect()) == table(spark, larger, "documents").count()
     assert [r.questions for r in summary.collect() if r.split == -1] == [table(spark, larger, "embeddings").where("vec_id % 20 = 0").count()]
 
@@ -52,9 +52,9 @@ def test_scores_of_all_documents_against_sql(spark, small):
     larger = small.replace("0.001", "0.01")
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{larger}/documents.parquet'")
-    query = catalog.queries()["lex08_scoring_all_documents"](spark, larger)
+    query = catalog.queries()["lex08_scoring"](spark, larger)
     got = [tuple(r) for r in query.orderBy("rank").collect()]
-    want = con.execute(catalog.oracle_sql()["lex08_scoring_all_documents"]).fetchall()
+    want = con.execute(catalog.oracle_sql()["lex08_scoring"]).fetchall()
     assert got == [(doc, line, pytest.approx(score, abs=2e-6), rank) for doc, line, score, rank in want] and max(r[0] for r in got) >= 400
 
 
@@ -71,4 +71,4 @@ def test_damaged_paths_are_reported(spark):
 
 
 def test_unequal_multisets_appear(spark, small):
-    assert {r.same for r in catalog.queries()["arr03_multiset_equality_two_lists"](spark, small).collect()} == {True, False}
+    assert {r.same for r in catalog.queries()["arr03_multiset_equality"](spark, small).collect()} == {True, False}
