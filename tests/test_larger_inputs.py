@@ -1,8 +1,13 @@
 """What larger inputs asked for: no table in one process's memory, no work that grows with a square without need."""
 
+import math
+import time
+from fractions import Fraction
+
 import pytest
 
 from quillspark import catalog
+from quillspark.operators import evaluation
 from quillspark.operators.skew import distinct_not_in
 
 
@@ -23,3 +28,18 @@ def test_not_in_treats_nulls_as_sql_does(spark, left, right):
         table.createOrReplaceTempView(f"not_in_{name}")
     want = spark.sql("SELECT DISTINCT k FROM not_in_a WHERE k NOT IN (SELECT k FROM not_in_b)")
     assert sorted(map(str, distinct_not_in(*tables).collect())) == sorted(f"Row(key={r.k})" for r in want.collect())
+
+
+@pytest.mark.parametrize("wins, n", [(0, 1), (1, 1), (3, 10), (5, 10), (31, 77), (460, 1000)])
+def test_sign_test_is_the_binomial_tail(wins, n):
+    tail = Fraction(sum(math.comb(n, k) for k in range(min(wins, n - wins) + 1)), 2**n)
+    assert evaluation.sign_test(wins, n) == pytest.approx(min(1.0, 2 * float(tail)), rel=1e-9)
+
+
+def test_sign_test_takes_one_pass_over_the_tail(spark, tmp_path):
+    spark.range(2_000_000).selectExpr("id AS doc_id", "'en' AS lang", "IF(id % 1000 = 0, 1, id) AS n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    began = time.monotonic()
+    [row] = catalog.queries()["evl06_sign_test"](spark, str(tmp_path)).collect()
+    # The normal tail with n / 4 as variance; p = 0.0047.
+    assert (row.lang, row.wins, row.n) == ("en", 998_000, 2_000_000)
+    assert row.p == pytest.approx(math.erfc(1999.5 / math.sqrt(500_000) / math.sqrt(2)), abs=1e-4) and time.monotonic() - began < 60
