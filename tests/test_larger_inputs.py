@@ -4,10 +4,13 @@ import math
 import time
 from fractions import Fraction
 
+import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillspark import catalog
-from quillspark.operators import evaluation
+from quillspark.operators import evaluation, neighbours
 from quillspark.operators.skew import distinct_not_in
 
 
@@ -43,3 +46,42 @@ def test_sign_test_takes_one_pass_over_the_tail(spark, tmp_path):
     # The normal tail with n / 4 as variance; p = 0.0047.
     assert (row.lang, row.wins, row.n) == ("en", 998_000, 2_000_000)
     assert row.p == pytest.approx(math.erfc(1999.5 / math.sqrt(500_000) / math.sqrt(2)), abs=1e-4) and time.monotonic() - began < 60
+
+
+def test_question_scores_make_no_rows_of_pairs(spark, small):
+    for name in ("evl01_question_scores",):
+        plan = catalog.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "CartesianProduct" not in plan and "Window" not in plan
+
+
+def test_question_scores_of_odd_vectors_in_many_units(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    values = rng.normal(size=(900, 64)).astype(np.float32)
+    values[100:200] = values[100]  # copies: ties go by id
+    values[200:210] = -values[200:210]
+    rows = [(7 * i - 700, v.tolist(), int(rng.integers(0, 40)) if i % 9 else None) for i, v in enumerate(values)]
+    rows += [(20_000, None, 1), (20_001, None, 1), (20_020, values[0, :50].tolist(), 2), (20_040, [None, *values[1, 1:].tolist()], 3), (20_060, values[2].tolist(), 99), (None, values[3].tolist(), 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name, value in (("QUERY_BLOCK", 20), ("PART", 200), ("LEAST_PART", 200)):
+        monkeypatch.setattr(neighbours, name, value)
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("evl01_question_scores",):
+        got = catalog.queries()[name](spark, str(tmp_path))
+        want = con.execute(catalog.oracle_sql()[name])
+        assert got.columns == [c[0] for c in want.description]
+        assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_tiles_agree_with_one_ranking(monkeypatch):
+    monkeypatch.setattr(neighbours, "TILE", (3, 16))
+    rng = np.random.default_rng(2)
+    values, labels = rng.integers(-2, 3, (120, 4)).astype(np.float32), rng.integers(0, 30, 120)
+    table = lambda at: pa.table({"unit": at * 0, "kind": at * 0, "id": at, "label": labels[at], "values": pa.array(values[at].tolist(), pa.list_(pa.float32()))})
+    q, top, equal = neighbours._rows(table(np.arange(0, 120, 10)), 4), neighbours._Best(12, neighbours.TOP), neighbours._Best(12, 1)
+    for low in (0, 50, 90):
+        neighbours._nearest(q, neighbours._rows(table(np.arange(low, {0: 50, 50: 90, 90: 120}[low])), 4), top, equal)
+    for k, own in enumerate(q.id.tolist()):
+        order = sorted((-float(values[own] @ values[i]), i) for i in range(120) if i != own)
+        assert top.id[k].tolist() == [i for _, i in order[: neighbours.TOP]]
+        assert equal.id[k, 0] == next((i for _, i in order if labels[i] == labels[own]), np.iinfo(np.int64).max)
