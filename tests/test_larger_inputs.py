@@ -49,7 +49,7 @@ def test_sign_test_takes_one_pass_over_the_tail(spark, tmp_path):
 
 
 def test_question_scores_make_no_rows_of_pairs(spark, small):
-    for name in ("evl01_question_scores",):
+    for name in ("evl01_question_scores", "evl02_summarize"):
         plan = catalog.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "CartesianProduct" not in plan and "Window" not in plan
 
@@ -66,7 +66,7 @@ def test_question_scores_of_odd_vectors_in_many_units(spark, tmp_path, monkeypat
         monkeypatch.setattr(neighbours, name, value)
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
-    for name in ("evl01_question_scores",):
+    for name in ("evl01_question_scores", "evl02_summarize"):
         got = catalog.queries()[name](spark, str(tmp_path))
         want = con.execute(catalog.oracle_sql()[name])
         assert got.columns == [c[0] for c in want.description]
