@@ -10,8 +10,9 @@ import pyarrow as pa
 import pytest
 
 from quillspark import catalog
-from quillspark.operators import evaluation, neighbours
-from quillspark.operators.skew import distinct_not_in
+from quillspark.operators import evaluation, graph, neighbours
+from quillspark.operators.skew import distinct_not_in, possible
+from quillspark.scratch import materialize
 
 
 def test_not_in_moves_no_whole_table_to_the_driver(spark, small):
@@ -85,3 +86,31 @@ def test_tiles_agree_with_one_ranking(monkeypatch):
         order = sorted((-float(values[own] @ values[i]), i) for i in range(120) if i != own)
         assert top.id[k].tolist() == [i for _, i in order[: neighbours.TOP]]
         assert equal.id[k, 0] == next((i for _, i in order if labels[i] == labels[own]), np.iinfo(np.int64).max)
+
+
+def test_traversal_moves_only_what_it_meets(spark, monkeypatch):
+    """Written and shuffled rows follow the frontier, not the tables."""
+    written = []
+    monkeypatch.setattr(graph, "materialize", lambda df, label: written.append((label, df.count())) or materialize(df, label))
+    n = 20_000
+    ends = spark.range(n).selectExpr("concat('r', id) AS relation_id", "concat('s', id % 2000) AS supplier", "concat('p', id % 5000) AS part")
+    participants = ends.selectExpr("relation_id", "'supplier' AS role", "supplier AS resource").union(ends.selectExpr("relation_id", "'part' AS role", "part AS resource"))
+    relations = participants.select("relation_id").distinct().selectExpr("relation_id", "IF(relation_id = 'r1', 'other', 'supply') AS relation_type")
+    visible = participants.select("resource").distinct().where("resource not like 'p%01'")
+    seeds = spark.createDataFrame([("s1",), ("s6",), ("unknown",)], "resource string")
+    plan = [graph.Hop("supply", "supplier", "part"), graph.Hop("supply", "part", "supplier")]
+    got = sorted((r.start, r.resource, *r.path) for r in graph.traverse(participants, relations, seeds, plan, visible).collect())
+    known = [(i, f"s{i % 2000}", f"p{i % 5000}") for i in range(n) if i != 1 and not f"p{i % 5000}".endswith("01")]
+    by_part = {}
+    for i, s, p in known:
+        by_part.setdefault(p, []).append((i, s))
+    want = sorted((s, t, s, f"r{i}", p, f"r{k}", t) for i, s, p in known if s in ("s1", "s6") for k, t in by_part[p])
+    assert got == want and want
+    assert {label for label, _ in written} >= {"members", "hop"} and max(rows for _, rows in written) < n / 50
+
+
+@pytest.mark.parametrize("n_keys", [0, 1, 3000])
+def test_possible_keeps_every_key(spark, n_keys):
+    rows, keys = spark.range(-5000, 5000), spark.range(n_keys).selectExpr("id - 1000 AS id")
+    left = possible(rows, keys, ["id"])
+    assert left.join(keys, "id", "left_semi").count() == n_keys and left.count() <= n_keys + 20
