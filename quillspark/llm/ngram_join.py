@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from quillspark.llm.components import connected_components
 from quillspark.llm.shingles import mix, shingle_set
 from quillspark.llm.tokens import forget, handing_back
-from quillspark.operators.skew import column_of, hot_cold_join, numbered, renamed
+from quillspark.operators.skew import column_of, hot_cold_join, numbered, possible, renamed
 from quillspark.scratch import discard, materialize, release
 
 THRESHOLD, WIDTH, RECALL, MAX_HASHES = 0.8, 5, 0.9999, 128
@@ -229,12 +229,11 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(handing_back(run), "key binary, grams binary")
 
 
-def _sets_of(docs: DataFrame, copies: DataFrame, keys: DataFrame, width: int) -> DataFrame:
-    """(key, grams) of the classes in ``keys``, from the text of one document each."""
-    wanted = keys.join(copies.select("key", "id"), "key")
-    # Both sides grow with the corpus, so texts are always dealt by id, never met by a broadcast.
-    sets = _sets(docs.join(wanted.select("id").distinct().hint("merge"), "id", "left_semi").select("text"), width)
-    return sets.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
+def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(key, grams) of the classes in ``wanted`` (key, id), a written table, from the text of one document each."""
+    # Texts that cannot be wanted stay where they are.  Both sides grow with the corpus, so the others are always dealt by id, never met by a broadcast.
+    texts = possible(docs, wanted, ["id"]).join(wanted.select("id").distinct().hint("merge"), "id", "left_semi").select("text")
+    return _sets(texts, width).join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
 def _dense_units(dense: DataFrame, block: int) -> DataFrame:
@@ -279,8 +278,8 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     buckets = copies.select("key", F.posexplode("bands").alias("band", "bucket"))
     sizes = materialize(buckets.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     release(spark)
-    # Signatures follow only the few rows that share a bucket.
-    met = hot_cold_join(buckets, sizes, ["band", "bucket"], "size", F.col("key")).where("size is not null").select("band", "bucket", "size", "key")
+    # Signatures follow only the few rows that share a bucket; most others are left out before they are dealt.
+    met = hot_cold_join(possible(buckets, sizes, ["band", "bucket"]), sizes, ["band", "bucket"], "size", F.col("key")).where("size is not null").select("band", "bucket", "size", "key")
     met = materialize(met, "met")
     discard(sizes)
     release(spark)
@@ -292,14 +291,15 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
         heads = dense.groupBy("band", "bucket", "size").agg(F.min("key").alias("key"))
         asked = first.select("band", "bucket", F.pmod(F.xxhash64("key"), salts).cast("int").alias("salt"), F.lit(1).alias("member"), "key")
         asked = asked.union(heads.select("band", "bucket", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("member"), "key"))
-        asked = asked.join(_sets_of(docs, copies, dense.select("key").distinct(), width), "key").select("band", "bucket", "salt", "member", "key", "grams")
+        wanted = materialize(dense.select("key").distinct().join(copies.select("key", "id"), "key"), "wanted")
+        asked = asked.join(_sets_of(docs, wanted, width), "key").select("band", "bucket", "salt", "member", "key", "grams")
         asked = asked.repartition("band", "bucket", "salt").sortWithinPartitions("band", "bucket", "salt", "member")
         led = materialize(asked.mapInArrow(handing_back(_near_leader(threshold)), "key binary, leader binary"), "led")
         groups = led.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
         groups = materialize(groups, "leaders")
         sure = hot_cold_join(led, groups, ["leader"], "n", F.col("key")).select("key", (F.col("n") - 1).alias("links"), F.col("leader").alias("root"))
         plain, copies = copies, materialize(copies.join(led, "key", "left"), "copies")
-        discard(plain)
+        discard(plain, wanted)
     else:
         led, sure = None, None
         copies = copies.withColumn("leader", F.lit(None).cast("binary"))
@@ -312,12 +312,13 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     need = materialize(need, "candidates")
     discard(met)
     release(spark)
-    sets = _sets_of(docs, copies, need.select("key").distinct(), width)
-    units = need.join(copies.select("key", "leader", "bands"), "key").join(sets, "key").select("low", "high", "band", "bucket", "block", "key", "leader", "bands", "grams")
+    wanted = materialize(need.select("key").distinct().join(copies.select("key", "id"), "key"), "wanted")
+    signatures = possible(copies.select("key", "leader", "bands"), wanted, ["key"])
+    units = need.join(signatures, "key").join(_sets_of(docs, wanted, width), "key").select("low", "high", "band", "bucket", "block", "key", "leader", "bands", "grams")
     units = units.repartition("band", "bucket", "low", "high").sortWithinPartitions("low", "high", "band", "bucket")
     links = units.mapInArrow(handing_back(_verify(threshold)), "key binary, links long, root binary")
     links = materialize(links.union(sure) if sure is not None else links, "links")
-    discard(need)
+    discard(need, wanted)
     release(spark)
     roots = connected_components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("key").agg(F.sum("links").alias("n_links"))

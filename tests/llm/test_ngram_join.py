@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -6,6 +7,7 @@ import pytest
 
 from quillspark.llm.ngram_join import choose_bands, intersections, ngram_join, one_per_class
 from quillspark.llm.shingles import shingle_set
+from quillspark.scratch import materialize
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -110,6 +112,30 @@ def test_one_per_class(make_docs, corpus):
     assert {r.doc_id for r in kept.where("doc_id is not null").collect()} == classes
 
 
+def test_what_meets_nothing_is_not_dealt(spark, make_docs):
+    """Texts without a partner and buckets of one class are not shuffled, whatever size joins broadcast."""
+    def shuffled():
+        sc = spark.sparkContext._jsc.sc()
+        time.sleep(0.3)  # figures are renewed every 0.1 s, when a task ends
+        spark.range(1).collect()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(300))) for i in range(2000)]
+    near = [(5000 + i, t) for i, t in enumerate(near_copies(10, 3))]
+    docs = materialize(make_docs(rows + near), "docs")
+    before, limit = shuffled(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in ngram_join(docs).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == [(i, i, 0, 1) for i, _ in rows] + brute(near)
+    # Bytes of the texts without a partner against all that was shuffled: signatures, hashes of buckets, and ten texts.
+    assert shuffled() - before < 0.4 * sum(len(t) for _, t in rows)
+
+
 def test_bands_reach_the_recall():
     for threshold in (0.5, 0.8, 0.9):
         bands, rows = choose_bands(threshold, 0.999, 128)
